@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, sharding, token_files
+from . import fingerprints, licenses, packing, sharding, token_files
 from .common import table
 
 
@@ -28,7 +29,26 @@ def op4_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents"), _vocabulary(), end_id=2))
 
 
+def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fingerprints.with_next(table(spark, sf_dir, "documents"))
+    both = docs.withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text")))
+    sketched = both.withColumn("edited_sketch", fingerprints.sketch(F.col("edited")))
+    return sketched.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+def op10_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sampled_splitters, op3_vector_best_fit, op4_bit_packed_ids)
+    f.__name__: f for f in (op2_sampled_splitters, op3_vector_best_fit, op4_bit_packed_ids, op7_bottom_k, op10_diagonal_voting)
 }
 ORACLE_SQL: dict[str, str] = {}
