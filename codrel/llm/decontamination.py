@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 #: Share of a passage's characters that edits may touch; words of a passage and between passage starts.
-ERRORS, PASSAGE, STRIDE, LEAST_WORDS = 0.1, 20, 10, 6
+ERRORS, PASSAGE, STRIDE, LEAST_WORDS = 1 / 12, 20, 10, 6
 #: Characters of items in one block.
 BLOCK_CHARS = 4_000_000
 _NOT_WORD = re.compile(r"[\W_]+")

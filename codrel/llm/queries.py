@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, packing, sharding, token_files
+from . import decontamination, fingerprints, html_text, licenses, packing, quality, sharding, token_files
 from .common import table
 
 
@@ -17,6 +17,16 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+
+
+def op1_nb_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~HELD_OUT).select("doc_id", F.col("quality").cast("int").alias("label"))
+    scored = quality.score(docs, quality.fit_table(docs, labels))
+    return scored.select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
@@ -29,6 +39,11 @@ def op4_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents"), _vocabulary(), end_id=2))
 
 
+def op6_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fingerprints.with_next(table(spark, sf_dir, "documents"))
     both = docs.withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text")))
@@ -44,11 +59,19 @@ def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pigeonhole_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sampled_splitters, op3_vector_best_fit, op4_bit_packed_ids, op7_bottom_k, op10_diagonal_voting)
-}
+    f.__name__: f
+    for f in (
+        op1_nb_support_vectors, op2_sampled_splitters, op3_vector_best_fit, op4_bit_packed_ids, op6_tree_scoring, op7_bottom_k,
+        op8_pigeonhole_edit, op10_diagonal_voting,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
