@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, html_text, licenses, packing, quality, sharding, token_files
+from . import decontamination, fingerprints, html_text, jaccard_join, licenses, line_dedup, packing, quality, sharding, token_files
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op4_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents"), _vocabulary(), end_id=2))
 
 
+def op5_segment_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -63,6 +67,10 @@ def op8_pigeonhole_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op10_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -70,8 +78,8 @@ def op10_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_nb_support_vectors, op2_sampled_splitters, op3_vector_best_fit, op4_bit_packed_ids, op6_tree_scoring, op7_bottom_k,
-        op8_pigeonhole_edit, op10_diagonal_voting,
+        op1_nb_support_vectors, op2_sampled_splitters, op3_vector_best_fit, op4_bit_packed_ids, op5_segment_partition, op6_tree_scoring,
+        op7_bottom_k, op8_pigeonhole_edit, op9_signature_trees, op10_diagonal_voting,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
