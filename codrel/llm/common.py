@@ -46,3 +46,15 @@ def text_or_empty(column: str = "text") -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Stands for a null id where ids are ordered or leave the JVM.
+NO_ID = -(2**63)
+
+
+def id_or_least(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+def shown_id(column: Column) -> Column:
+    return F.when(column != NO_ID, column)

@@ -10,8 +10,8 @@ as one space. Items are taken in blocks of a bounded number of characters, each
 pass over the documents, so what is shipped with the tasks has a fixed bound.
 
 Defined results: null or empty texts and items match nothing; items of fewer than
-``least_words`` words are looked for whole and without errors, and those without words not at
-all; rows that repeat an id give their matches once (the best); empty tables give an empty
+``least_words`` words are looked for whole and without errors, and those without words or id not
+at all; rows that repeat an id give their matches once (the best); empty tables give an empty
 table. Extra columns are ignored.
 """
 
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import id_or_least, shown_id, text_or_empty
 
 #: Share of a passage's characters that edits may touch; words of a passage and between passage starts.
 ERRORS, PASSAGE, STRIDE, LEAST_WORDS = 1 / 12, 20, 10, 6
@@ -141,10 +141,10 @@ class Matcher:
 def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, size: int = PASSAGE, stride: int = STRIDE, least_words: int = LEAST_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and test item that it holds: doc_id, item_id, edits, start, end."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
+    items = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
     chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    source = docs.select(id_or_least().alias("doc_id"), text_or_empty().alias("text"))
 
     def one(block: int) -> DataFrame:
         rows = [(r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
@@ -159,9 +159,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS,
 
     found = reduce(DataFrame.unionByName, [one(b) for b in range(blocks)])
     best = F.min(F.struct("edits", "start", "end")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    return found.groupBy("doc_id", "item_id").agg(best).select(shown_id(F.col("doc_id")).alias("doc_id"), "item_id", "best.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that hold a test item; a null id is kept."""
-    return docs.join(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "doc_id", "left_anti")
+    """``docs`` without those that hold a test item (null ids count as one id)."""
+    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_found")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")

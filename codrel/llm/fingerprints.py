@@ -16,10 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_or_empty
+from .common import id_or_least, shuffle_partitions, text_or_empty
 
 WORDS, K = 5, 128
-NO_ID = -(2**63)
 
 
 def let(value: Column, body) -> Column:
@@ -100,7 +99,7 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 4096, most_buckets: int =
     The driver holds one pair of ids a bucket.
     """
     spark = docs.sparkSession
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_at"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    source = docs.select(id_or_least().alias("_at"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     n = source.count()
     buckets = min(most_buckets, max(1, n // rows_per_bucket, min(n // 64, shuffle_partitions(spark))))
     wanted = [i / buckets for i in range(1, buckets)]

@@ -21,7 +21,7 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -216,9 +216,10 @@ def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """``pages`` with a text column in place of the html."""
     others = [c for c in pages.columns if c not in (html_column, "text")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[others].assign(text=[main_text(h) for h in pdf[html_column]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([main_text(h) for h in batch.column(html_column).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), texts], [*others, "text"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pages.select(others).dtypes) + ", text string"
-    return pages.select(*others, html_column).mapInPandas(run, schema)
+    return pages.select(*others, html_column).mapInArrow(run, schema)

@@ -34,11 +34,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import id_or_least, shown_id, text_or_empty, written
 from .components import components
 
 WORDS, PERCENT = 3, 90
-NO_ID = -(2**63)
 BITS = 2048
 LEAF = 32
 #: Sizes up to which a bitmap holds every token; above, it holds a half, a quarter ... of them.
@@ -83,17 +82,17 @@ def _shared_rows(n: Column, percent: int) -> Column:
 
 def documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Written: doc_id, n, d1, d2 (128 bits of hash of the set) and rows, the first tokens that go into the index."""
-    sets = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), token_set(text_or_empty(), words).alias("tokens"))
+    sets = docs.select(id_or_least().alias("doc_id"), token_set(text_or_empty(), words).alias("tokens"))
     n = F.size("tokens").cast("long")
     rows = F.slice("tokens", F.lit(1), (_spare(n, percent) + _shared_rows(n, percent)).cast("int"))
     return written(sets.select("doc_id", n.alias("n"), F.xxhash64("tokens").alias("d1"), F.xxhash64(F.lit(7), "tokens").alias("d2"), rows.alias("rows")), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets link."""
     side = lambda p: sets.select(F.col("node").alias(p), F.col("text").alias(f"{p}_text"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    made = both.select("a", "b", F.col("a_tokens"), F.col("b_tokens")) if "a_tokens" in both.columns else both.select("a", "b", token_set(F.col("a_text")).alias("a_tokens"), token_set(F.col("b_text")).alias("b_tokens"))
+    made = both.select("a", "b", token_set(F.col("a_text"), words).alias("a_tokens"), token_set(F.col("b_text"), words).alias("b_tokens"))
     common = made.select("a", "b", F.size("a_tokens").cast("long").alias("na"), F.size("b_tokens").cast("long").alias("nb"), F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long").alias("common"))
     return common.filter(linked(F.col("common"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
@@ -207,8 +206,6 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    if words != WORDS:
-        raise ValueError("verification uses the module's n-gram length")
     base = documents(docs, words, percent)
     full = base.filter(F.col("n") > 0)
     classes = written(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id")), "classes")
@@ -222,8 +219,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     nodes = written(counted.filter(F.col("rows") >= least).select("node", "n", (F.col("frequent") >= least).alias("all_rows")), "nodes")
     ids = nodes.select(F.col("node.id").alias("id"), F.col("node.d").alias("d"))
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty().alias("text"))
-    texts = source.join(F.broadcast(ids) if small else ids, "id").filter(F.xxhash64(token_set(F.col("text"))) == F.col("d"))
+    source = docs.select(id_or_least().alias("id"), text_or_empty().alias("text"))
+    texts = source.join(F.broadcast(ids) if small else ids, "id").filter(F.xxhash64(token_set(F.col("text"), words)) == F.col("d"))
     sets = written(texts.select(F.struct("id", "d").alias("node"), "text").dropDuplicates(["node"]), "texts")
     kept = written(live.join(nodes.select("node", "all_rows"), "node"), "kept-rows")
 
@@ -235,7 +232,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             for p in "ab":
                 best = best.join(comps.select(F.col("node").alias(p), F.col("component").alias(f"{p}_c")), p, "left").withColumn(f"{p}_c", F.coalesce(f"{p}_c", p))
             best = best.filter(F.col("a_c") != F.col("b_c")).select("a", "b")
-        return written(_verified(best, sets, percent), "links")
+        return written(_verified(best, sets, words, percent), "links")
 
     links = star(kept, None)
     comps = components(links)
@@ -250,7 +247,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     mixed = open_rows.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") != F.col("hi"))
     todo = written(open_rows.join(mixed.select("token", "m"), "token"), "open-rows")
     needed = todo.select("node").distinct()
-    with_tokens = sets.join(needed, "node", "left_semi").select(F.col("node.id").alias("id"), F.col("node.d").alias("d"), token_set(F.col("text")).alias("tokens"))
+    with_tokens = sets.join(needed, "node", "left_semi").select(F.col("node.id").alias("id"), F.col("node.d").alias("d"), token_set(F.col("text"), words).alias("tokens"))
     signed = with_tokens.mapInPandas(_signed, "id long, d long, own binary, next binary")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = todo.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK).cast("long")).cast("int")})
@@ -262,11 +259,16 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     ).join(signed, ["id", "d"])
     found = flat.groupBy("token", "i", "j").applyInPandas(_search(percent), "a_id long, a_d long, b_id long, b_d long").distinct()
     pairs = found.select(F.struct(F.col("a_id").alias("id"), F.col("a_d").alias("d")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_d").alias("d")).alias("b"))
-    rest = written(_verified(written(pairs, "pairs"), sets, percent), "links")
+    rest = written(_verified(written(pairs, "pairs"), sets, words, percent), "links")
     if not rest.isEmpty():
         comps = components(links.union(rest))
 
     named = classes.select("n", "d1", "d2", node).join(comps, "node", "left").select("n", "d1", "d2", F.coalesce(F.col("component.id"), F.col("node.id")).alias("component_id"))
     out = base.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-    shown = lambda c: F.when(c != NO_ID, c)
-    return out.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select(shown_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown_id(F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with the smallest document of each component; rows that repeat an id and a text stay once."""
+    first = join(docs, words, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id", "text"])

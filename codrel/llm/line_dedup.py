@@ -24,10 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import id_or_least, shown_id, text_or_empty, written
 
 MAX_EDITS, LEAST_CHARS = 2, 20
-NO_ID = -(2**63)
 #: Lines to verify up to which their keys are broadcast (about 40 bytes each); beyond it the texts are shuffled to them.
 BROADCAST_ROWS = 200_000
 _AT = ("doc_id", "text_hash", "line_no")
@@ -40,7 +39,7 @@ def let(value: Column, body) -> Column:
 def lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc_id, text_hash, line_no, line of every line that takes part."""
     source = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line")
+        id_or_least().alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line")
     )
     trimmed = source.withColumn("line", F.trim("line"))
     return trimmed.filter(F.char_length("line") >= least_chars)
@@ -185,16 +184,15 @@ def removed(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAS
 
 def report(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed, removed for every document; line numbers count from 0."""
-    own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_or_empty()).alias("text_hash"), F.size(F.split(text_or_empty(), "\n")).alias("n_lines"))
-    own = own.withColumn("doc_id", F.coalesce("_id", F.lit(NO_ID)))
+    own = docs.select(id_or_least().alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), F.size(F.split(text_or_empty(), "\n")).alias("n_lines"))
     out = own.join(removed(docs, max_edits, least_chars), ["doc_id", "text_hash"], "left")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select(F.col("_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
+    return out.select(shown_id(F.col("doc_id")).alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
 
 
 def apply(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with the lines taken out of their texts; a document that loses all its lines goes."""
-    keyed = docs.withColumns({"_codrel_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_codrel_hash": F.xxhash64(text_or_empty())})
+    keyed = docs.withColumns({"_codrel_id": id_or_least(), "_codrel_hash": F.xxhash64(text_or_empty())})
     gone = removed(docs, max_edits, least_chars).select(F.col("doc_id").alias("_codrel_id"), F.col("text_hash").alias("_codrel_hash"), F.col("removed").alias("_codrel_removed"))
     joined = keyed.join(gone, ["_codrel_id", "_codrel_hash"], "left")
     parts = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_codrel_removed", i))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import id_or_least, shown_id, text_or_empty, written
 
 #: Documents encoded in one call.
 _BATCH = 256
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     """One row per piece: doc_id, piece, start, length, ids_crc32.
 
     Only documents above ``capacity`` are cut: the first piece takes what is left over, the
-    others are full.
+    others are full. A null id is the smallest long here, and null again in ``packed``.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                     rows += [(doc_id, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    source = docs.select(id_or_least().alias("doc_id"), text_or_empty().alias("text"))
     return source.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -125,4 +125,5 @@ def pack(
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, **limits) -> DataFrame:
     """``pieces`` once into the shared folder, then ``pack``."""
-    return pack(written(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity, **limits)
+    out = pack(written(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity, **limits)
+    return out.withColumn("doc_id", shown_id(F.col("doc_id")))

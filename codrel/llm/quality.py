@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,14 +183,15 @@ def fit_table(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) ->
     return fit([np.frombuffer(x, np.int32) for x in made["slots"]], made["label"].to_numpy(int))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a score for each whole text."""
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """``docs`` with a score for each whole text, in a new column."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.squares.astype(np.float32), model.bias, model.slope, model.offset))
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        for pdf in batches:
-            yield pdf.assign(score=[own.score(t or "") for t in pdf["text"]])
+        for batch in batches:
+            scores = [own.score(t or "") for t in batch.column("text").to_pylist()]
+            yield batch.append_column(column, pa.array(scores, pa.float64()))
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", score double"
-    return docs.mapInPandas(scored, schema)
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != column) + f", `{column}` double"
+    return docs.drop(column).mapInArrow(scored, schema)

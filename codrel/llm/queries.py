@@ -11,7 +11,7 @@ from . import decontamination, fingerprints, html_text, jaccard_join, licenses,
 from .common import table
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -32,11 +32,11 @@ def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), _vocabulary(), capacity=2048, end_id=0)
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
 
 
 def op4_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents"), _vocabulary(), end_id=2))
+    return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=2))
 
 
 def op5_segment_partition(spark: SparkSession, sf_dir: str) -> DataFrame:

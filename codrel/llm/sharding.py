@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import id_or_least, shown_id, text_or_empty, written
 
 #: Ranges aimed at for each shard, and rows drawn for each range.
 RANGES_PER_SHARD, DRAWS_PER_RANGE = 128, 12
@@ -35,7 +35,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and the key; the texts themselves go no further."""
     text = text_or_empty()
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        id_or_least().alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
@@ -55,7 +55,7 @@ def _ranged(rows: DataFrame, splits: np.ndarray) -> DataFrame:
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, ids = pdf["key"].to_numpy(), pdf["doc_id"].fillna(-(2**63)).to_numpy(np.int64)
+            keys, ids = pdf["key"].to_numpy(), pdf["doc_id"].to_numpy()
             lo, hi = np.searchsorted(firsts, keys, "left"), np.searchsorted(firsts, keys, "right")
             for at in np.unique(lo[hi > lo]):  # keys that splitters share: the ids decide
                 mine = (lo == at) & (hi > lo)
@@ -71,7 +71,7 @@ def _sample(rows: DataFrame, total: int, draws: int) -> np.ndarray:
     """Keys drawn with a chance in proportion to size; sizes above total / draws are always drawn. Deterministic by key."""
     chance = F.col("size") * F.lit(draws / max(1, total))
     coin = F.pmod(F.xxhash64("doc_id", "key", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    got = rows.filter(coin < chance).select("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id")).toPandas()
+    got = rows.filter(coin < chance).select("key", "doc_id").toPandas()
     return np.sort(_codes(got["key"].to_numpy(np.int64), got["doc_id"].to_numpy(np.int64)), order=["k", "d"])
 
 
@@ -135,5 +135,5 @@ def shard(docs: DataFrame, shards: int = 8, ranges_per_shard: int = RANGES_PER_S
     )
     first = put.groupBy("shard").agg(F.min("row").alias("first"))
     return put.join(F.broadcast(first), "shard").select(  # one row a shard
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        shown_id(F.col("doc_id")).alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

@@ -30,11 +30,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, text_or_empty, written
+from .common import NO_ID, id_or_least, new_path, text_or_empty, written
 
 MAGIC = b"BITTOK1\n"
 FOOTER = struct.Struct("<5q")
-NO_ID = -(2**63)
 IDS_PER_BLOCK = 1 << 16
 _BATCH = 256
 
@@ -160,7 +159,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | Non
             out.close()
             yield pd.DataFrame([(path, fs.get_file_info(path).size, part, writer.doc_ids[0], len(writer.doc_ids), writer.n)], columns=["path", "bytes", "part", "first_doc", "n_docs", "n_ids"])
 
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().alias("text"))
+    source = docs.select(id_or_least().alias("doc_id"), text_or_empty().alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     files = written(ordered.mapInPandas(write, "path string, bytes long, part int, first_doc long, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("first_doc", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file

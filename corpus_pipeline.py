@@ -1,8 +1,57 @@
-"""Placeholder until its stages exist."""
+"""Corpus pipeline: what is low in quality, repeated, or in a benchmark goes; the rest is packed into sequences.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codrel.llm import decontamination, jaccard_join, line_dedup, packing, quality
+from codrel.llm.common import table, written
+from codrel.llm.queries import HELD_OUT, vocabulary
+
+#: Documents with a lower score are rejected.
+LEAST_SCORE = 0.3
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(~HELD_OUT).select("doc_id", F.col("quality").cast("int").alias("label"))
+    scored = quality.score(docs, quality.fit_table(docs, labels), column="_score")
+    return scored.filter(F.col("_score") >= LEAST_SCORE).drop("_score")
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.apply(docs)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs, words=5, percent=80)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs, vocabulary(), capacity=2048, end_id=0)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", without_near_duplicates),
+    ("benchmark decontamination", without_benchmark),
+    ("best-fit packing", into_sequences),
+]
+
+#: Training, tokenizing and edit matching have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
