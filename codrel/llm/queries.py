@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, fingerprints, html_text, jaccard_join, licenses, line_dedup, packing, quality, sharding, token_files
@@ -17,14 +17,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+def held_out() -> Column:
+    """Rows whose labels are never learned."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
 def op1_nb_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").filter(~HELD_OUT).select("doc_id", F.col("quality").cast("int").alias("label"))
+    labels = table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", F.col("quality").cast("int").alias("label"))
     scored = quality.score(docs, quality.fit_table(docs, labels))
-    return scored.select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from codrel.llm import decontamination, jaccard_join, line_dedup, packing, quality
 from codrel.llm.common import table, written
-from codrel.llm.queries import HELD_OUT, vocabulary
+from codrel.llm.queries import held_out, vocabulary
 
 #: Documents with a lower score are rejected.
 LEAST_SCORE = 0.3
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").filter(~HELD_OUT).select("doc_id", F.col("quality").cast("int").alias("label"))
+    labels = table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", F.col("quality").cast("int").alias("label"))
     scored = quality.score(docs, quality.fit_table(docs, labels), column="_score")
     return scored.filter(F.col("_score") >= LEAST_SCORE).drop("_score")
 
