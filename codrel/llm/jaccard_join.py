@@ -166,34 +166,87 @@ def dual_traversal(x: Tree, y: Tree, percent: int, same: bool) -> Iterator[tuple
             todo += [(lx, i, ly - 1, k) for k in (2 * j, 2 * j + 1) if k < len(y.levels[ly - 1][0])]
 
 
+#: Up to so many nodes of a row, comparing all of them is cheaper than growing a tree.
+SMALL = 48
+_ROW = ["token", "i", "j"]
+
+
+class _Batch:
+    """The rows of some whole groups as arrays."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.n, self.id, self.d = (pdf[c].to_numpy(np.int64) for c in ("n", "id", "d"))
+        self.comp = pdf.groupby(["c_id", "c_d"], sort=False).ngroup().to_numpy(np.int64)
+        self.level = np.array([level_of(n) for n in self.n.tolist()], np.int64)
+        self.block = pdf["block"].to_numpy(np.int64)
+        self.maps = [np.frombuffer(b"".join(pdf[c]), np.uint64).reshape(len(pdf), BITS // 64) for c in ("own", "next")]
+
+    def may_link(self, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs pass the bounds of size and bitmaps."""
+        total = self.n[p] + self.n[q]
+        ok = (self.comp[p] != self.comp[q]) & (100 * np.minimum(self.n[p], self.n[q]) >= percent * np.maximum(self.n[p], self.n[q]))
+        p, q, total, at = p[ok], q[ok], total[ok], np.flatnonzero(ok)
+        # Bitmaps of unequal levels are compared at the higher one.
+        up, uq = (self.level[p] < self.level[q])[:, None], (self.level[q] < self.level[p])[:, None]
+        own, above = self.maps
+        apart = np.bitwise_count(np.where(up, above[p], own[p]) ^ np.where(uq, above[q], own[q])).sum(axis=1, dtype=np.int64)
+        return at[(100 + percent) * (total - apart) >= 2 * percent * total]
+
+
+def _large(batch: _Batch, rows: np.ndarray, i: int, j: int, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs between the blocks i and j of one index row, by signature trees of each level of size."""
+    found = []
+
+    def go(x: np.ndarray, y: np.ndarray, wx: int, wy: int, same: bool) -> None:
+        if len(x) and len(y):
+            trees = [Tree(batch.n[r], batch.maps[w][r], batch.comp[r]) for r, w in ((x, wx), (y, wy))]
+            found.extend((x[p], y[q]) for p, q in dual_traversal(*trees, percent, same))
+
+    for level in np.unique(batch.level[rows]):
+        at, above = ([rows[(batch.level[rows] == v) & (batch.block[rows] == b)] for b in (i, j)] for v in (level, level + 1))
+        go(at[0], at[1], 0, 0, i == j)
+        go(at[0], above[1], 1, 0, False)
+        if i != j:
+            go(at[1], above[0], 1, 0, False)
+    return found
+
+
 def _search(percent: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs between blocks key[1] and key[2] of the row key[0]."""
-        i, j = key[1], key[2]
-        sizes, comps = pdf["n"].to_numpy(np.int64), pd.factorize(pdf["c_id"].astype(str) + "/" + pdf["c_d"].astype(str))[0].astype(np.int64)
-        levels = np.array([level_of(n) for n in sizes.tolist()])
-        block = pdf["block"].to_numpy()
-        maps = [np.array([np.frombuffer(s, np.uint64) for s in pdf[c]]).reshape(len(pdf), -1) for c in ("own", "next")]
-        found = []
-
-        def tree(rows: np.ndarray, which: int) -> Tree | None:
-            return Tree(sizes[rows], maps[which][rows], comps[rows]) if len(rows) else None
-
-        def go(x: np.ndarray, y: np.ndarray, wx: int, wy: int, same: bool) -> None:
-            tx, ty = tree(x, wx), tree(y, wy)
-            if tx and ty:
-                found.extend((x[p], y[q]) for p, q in dual_traversal(tx, ty, percent, same))
-
-        for level in np.unique(levels):
-            at = [np.flatnonzero((levels == level) & (block == b)) for b in (i, j)]
-            above = [np.flatnonzero((levels == level + 1) & (block == b)) for b in (i, j)]
-            go(at[0], at[1], 0, 0, i == j)
-            go(at[0], above[1], 1, 0, False)
-            if i != j:
-                go(at[1], above[0], 1, 0, False)
-        p, q = (np.concatenate(x) if found else np.zeros(0, int) for x in (zip(*found, strict=True) if found else ((), ())))
-        ids, ds = pdf["id"].to_numpy(), pdf["d"].to_numpy()
-        return pd.DataFrame({"a_id": ids[p], "a_d": ds[p], "b_id": ids[q], "b_d": ds[q]})
+    """Over rows sorted by group: pairs of nodes of different components that may link."""
+
+    def pairs_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        batch = _Batch(pdf)
+        keys = pdf[_ROW].to_numpy(np.int64)
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+        ends = np.r_[starts[1:], len(pdf)]
+        found, few = [], []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            if b - a > SMALL:
+                found += _large(batch, np.arange(a, b), int(keys[a, 1]), int(keys[a, 2]), percent)
+            elif b - a > 1:
+                u, v = np.triu_indices(b - a, 1)
+                few.append((u + a, v + a))
+        if few:
+            p, q = (np.concatenate(x) for x in zip(*few, strict=True))
+            ok = batch.may_link(p, q, percent)
+            found.append((p[ok], q[ok]))
+        p, q = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
+        out = pd.DataFrame({"a_id": batch.id[p], "a_d": batch.d[p], "b_id": batch.id[q], "b_d": batch.d[q]})
+        swap = (out["a_id"] > out["b_id"]) | ((out["a_id"] == out["b_id"]) & (out["a_d"] > out["b_d"]))
+        out.loc[swap, ["a_id", "a_d", "b_id", "b_d"]] = out.loc[swap, ["b_id", "b_d", "a_id", "a_d"]].to_numpy()
+        return out.drop_duplicates()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None  # the last group may go on in the next batch; a group has two blocks at most
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = pdf[_ROW].iloc[-1]
+            at = int((pdf[_ROW] == last).all(axis=1).to_numpy().argmax())
+            held = pdf.iloc[at:].reset_index(drop=True)
+            if at:
+                yield pairs_of(pdf.iloc[:at])
+        if held is not None and len(held):
+            yield pairs_of(held)
 
     return run
 
@@ -257,7 +310,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n",
         F.col("node.id").alias("id"), F.col("node.d").alias("d"), F.col("component.id").alias("c_id"), F.col("component.d").alias("c_d"),
     ).join(signed, ["id", "d"])
-    found = flat.groupBy("token", "i", "j").applyInPandas(_search(percent), "a_id long, a_d long, b_id long, b_d long").distinct()
+    grouped = flat.repartition(F.col("token"), F.col("i"), F.col("j")).sortWithinPartitions(*_ROW)
+    found = grouped.mapInPandas(_search(percent), "a_id long, a_d long, b_id long, b_d long").distinct()
     pairs = found.select(F.struct(F.col("a_id").alias("id"), F.col("a_d").alias("d")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_d").alias("d")).alias("b"))
     rest = written(_verified(written(pairs, "pairs"), sets, words, percent), "links")
     if not rest.isEmpty():
