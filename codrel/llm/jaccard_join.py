@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,36 +39,35 @@ from .common import id_or_least, shown_id, text_or_empty, written
 from .components import components
 
 WORDS, PERCENT = 3, 90
-BITS = 2048
+BITS = 4096
 LEAF = 32
 #: Sizes up to which a bitmap holds every token; above, it holds a half, a quarter ... of them.
-FULL = 512
+FULL = 2048
 #: Nodes of one row that are searched together, and above which a row counts as very frequent.
 BLOCK = 2048
 #: Ids up to which a table of them is broadcast.
 BROADCAST_ROWS = 500_000
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), 0)
+def shingles(text: str | None, words: int) -> list[bytes]:
+    """The text's word n-grams in order, repeats included; one of all words if there are fewer."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, and the six ASCII blanks
+    if len(w) < words:
+        return [b" ".join(w)] if w else []
+    return [b" ".join(g) for g in zip(*(w[i:] for i in range(words)), strict=False)]
 
 
-def token_set(text: Column, words: int = WORDS) -> Column:
+def token_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Ascending distinct hashes of the word n-grams."""
-    split = F.filter(F.split(F.translate(text, _UPPER, _UPPER.lower()), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashed = F.transform(split, lambda w: F.xxhash64(w))
+    from xxhash import xxh3_64_intdigest
 
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        runs = F.transform(F.sequence(F.lit(0), n - words), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(words))))
-        return F.when(n >= words, F.sort_array(F.array_distinct(runs))).when(n > 0, F.array(F.xxhash64(F.lit(-1), w))).otherwise(F.array().cast("array<bigint>"))
+    return np.unique(np.array([*map(xxh3_64_intdigest, shingles(text, words))], np.uint64)).view(np.int64)
 
-    return let(hashed, of)
 
-
-def linked(common: Column, a: Column, b: Column, percent: int) -> Column:
-    return 100 * common >= percent * (a + b - common)
+def links(x: str | None, y: str | None, words: int, percent: int) -> bool:
+    a, b = set(shingles(x, words)), set(shingles(y, words))
+    common = len(a & b)
+    return bool(common) and 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def _spare(n: Column, percent: int) -> Column:
@@ -81,20 +81,44 @@ def _shared_rows(n: Column, percent: int) -> Column:
 
 
 def documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Written: doc_id, n, d1, d2 (128 bits of hash of the set) and rows, the first tokens that go into the index."""
-    sets = docs.select(id_or_least().alias("doc_id"), token_set(text_or_empty(), words).alias("tokens"))
-    n = F.size("tokens").cast("long")
-    rows = F.slice("tokens", F.lit(1), (_spare(n, percent) + _shared_rows(n, percent)).cast("int"))
-    return written(sets.select("doc_id", n.alias("n"), F.xxhash64("tokens").alias("d1"), F.xxhash64(F.lit(7), "tokens").alias("d2"), rows.alias("rows")), "sets")
+    """Written: doc_id, d (hash of the text), n, d1, d2 (128 bits of hash of the set) and rows, the first tokens that go into the index."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest as digest
+
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for text in batch.column("text").to_pylist():
+                tokens = token_set(text, words)
+                n, raw = len(tokens), tokens.tobytes()
+                spare = n + -n * percent // 100
+                for column, value in zip(out, (n, digest(raw), digest(raw, 7), tokens[: 2 * spare + 1], digest(text.encode("utf-8", "surrogatepass"))), strict=True):
+                    column.append(value)
+            n, d1, d2, rows, d = out
+            whole = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (d, d1, d2)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), whole[0], pa.array(n, pa.int64()), *whole[1:], pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "d", "n", "d1", "d2", "rows"])
+
+    source = docs.select(id_or_least().alias("doc_id"), text_or_empty().alias("text"))
+    return written(source.mapInArrow(made, "doc_id long, d long, n long, d1 long, d2 long, rows array<long>"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets link."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(f"{p}_text").to_pylist() for p in "ab")
+            ok = pa.array([links(s, t, words, percent) for s, t in zip(x, y, strict=True)], pa.bool_())
+            yield batch.select(["a_id", "a_d", "b_id", "b_d"]).filter(ok)
+
     side = lambda p: sets.select(F.col("node").alias(p), F.col("text").alias(f"{p}_text"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    made = both.select("a", "b", token_set(F.col("a_text"), words).alias("a_tokens"), token_set(F.col("b_text"), words).alias("b_tokens"))
-    common = made.select("a", "b", F.size("a_tokens").cast("long").alias("na"), F.size("b_tokens").cast("long").alias("nb"), F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long").alias("common"))
-    return common.filter(linked(F.col("common"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    flat = both.select(*(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in ("id", "d")), "a_text", "b_text")
+    return flat.mapInArrow(check, "a_id long, a_d long, b_id long, b_d long").select(_node("a"), _node("b"))
+
+
+def _node(p: str) -> Column:
+    return F.struct(F.col(f"{p}_id").alias("id"), F.col(f"{p}_d").alias("d")).alias(p)
 
 
 def signature(tokens: np.ndarray, level: int) -> bytes:
@@ -251,20 +275,41 @@ def _search(percent: int):
     return run
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        tokens = [np.asarray(t, np.int64) for t in pdf["tokens"]]
-        yield pd.DataFrame({"id": pdf["id"], "d": pdf["d"], "own": [signature(t, level_of(len(t))) for t in tokens], "next": [signature(t, level_of(len(t)) + 1) for t in tokens]})
+def _signed(words: int, percent: int):
+    def above(t: np.ndarray) -> bytes:
+        """The bitmap at the next level, if a linked set may be of that level; else one without bits, which packs well."""
+        level = level_of(len(t))
+        return signature(t, level + 1) if 100 * len(t) >= percent * (FULL << level) else bytes(BITS // 8)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            tokens = [token_set(t, words) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "d": pdf["d"], "own": [signature(t, level_of(len(t))) for t in tokens], "next": [above(t) for t in tokens]})
+
+    return run
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, text of the nodes in ``ids`` (id, d)."""
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest as digest
+
+        for batch in batches:
+            d = np.array([digest(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield batch.filter(pa.array(d == batch.column("d").to_numpy()))
+
+    source = docs.select(id_or_least().alias("id"), text_or_empty().alias("text")).join(ids, "id").select("id", "d", "text")
+    return source.mapInArrow(same, "id long, d long, text string").select(F.struct("id", "d").alias("node"), "text")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     base = documents(docs, words, percent)
     full = base.filter(F.col("n") > 0)
-    classes = written(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id")), "classes")
-    node = F.struct(F.col("id"), F.col("d1").alias("d")).alias("node")
-    firsts = full.join(classes.select(F.col("id").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
-    rows = firsts.select(F.struct(F.col("doc_id").alias("id"), F.col("d1").alias("d")).alias("node"), "n", F.explode("rows").alias("token"))
+    classes = written(full.groupBy("n", "d1", "d2").agg(F.min(F.struct(F.col("doc_id").alias("id"), "d")).alias("node")), "classes")
+    firsts = full.join(classes.select(F.col("node.id").alias("doc_id"), F.col("node.d").alias("d")), ["doc_id", "d"], "left_semi").dropDuplicates(["doc_id", "d"])
+    rows = firsts.select(F.struct(F.col("doc_id").alias("id"), "d").alias("node"), "n", F.explode("rows").alias("token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("hub")).filter(F.col("df") > 1)
     live = written(rows.join(shared, "token"), "rows")
     least = _shared_rows(F.ceil(F.col("n") * percent / F.lit(100)).cast("long"), percent)
@@ -272,9 +317,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     nodes = written(counted.filter(F.col("rows") >= least).select("node", "n", (F.col("frequent") >= least).alias("all_rows")), "nodes")
     ids = nodes.select(F.col("node.id").alias("id"), F.col("node.d").alias("d"))
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    source = docs.select(id_or_least().alias("id"), text_or_empty().alias("text"))
-    texts = source.join(F.broadcast(ids) if small else ids, "id").filter(F.xxhash64(token_set(F.col("text"), words)) == F.col("d"))
-    sets = written(texts.select(F.struct("id", "d").alias("node"), "text").dropDuplicates(["node"]), "texts")
+    sets = written(_texts(docs, F.broadcast(ids) if small else ids).dropDuplicates(["node"]), "texts")
     kept = written(live.join(nodes.select("node", "all_rows"), "node"), "kept-rows")
 
     def star(hubs: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -287,12 +330,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             best = best.filter(F.col("a_c") != F.col("b_c")).select("a", "b")
         return written(_verified(best, sets, words, percent), "links")
 
-    links = star(kept, None)
-    comps = components(links)
+    found_links = star(kept, None)
+    comps = components(found_links)
     turn = F.struct(F.xxhash64("node").alias("turn"), "node")
     other = kept.groupBy("token").agg(F.min(turn).alias("first")).select("token", F.col("first.node").alias("hub"))
-    links = links.union(star(kept.drop("hub").join(other, "token"), comps))
-    comps = components(links)
+    found_links = found_links.union(star(kept.drop("hub").join(other, "token"), comps))
+    comps = components(found_links)
 
     # What the stars left: rows that nodes of different components share.
     own = nodes.join(comps, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
@@ -300,8 +343,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     mixed = open_rows.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") != F.col("hi"))
     todo = written(open_rows.join(mixed.select("token", "m"), "token"), "open-rows")
     needed = todo.select("node").distinct()
-    with_tokens = sets.join(needed, "node", "left_semi").select(F.col("node.id").alias("id"), F.col("node.d").alias("d"), token_set(F.col("text"), words).alias("tokens"))
-    signed = with_tokens.mapInPandas(_signed, "id long, d long, own binary, next binary")
+    with_texts = sets.join(needed, "node", "left_semi").select(F.col("node.id").alias("id"), F.col("node.d").alias("d"), "text")
+    signed = with_texts.mapInPandas(_signed(words, percent), "id long, d long, own binary, next binary")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = todo.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK).cast("long")).cast("int")})
     # Block k meets every block: as the first of the pair those at or above it, as the second those below.
@@ -315,9 +358,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     pairs = found.select(F.struct(F.col("a_id").alias("id"), F.col("a_d").alias("d")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_d").alias("d")).alias("b"))
     rest = written(_verified(written(pairs, "pairs"), sets, words, percent), "links")
     if not rest.isEmpty():
-        comps = components(links.union(rest))
+        comps = components(found_links.union(rest))
 
-    named = classes.select("n", "d1", "d2", node).join(comps, "node", "left").select("n", "d1", "d2", F.coalesce(F.col("component.id"), F.col("node.id")).alias("component_id"))
+    named = classes.join(comps, "node", "left").select("n", "d1", "d2", F.coalesce(F.col("component.id"), F.col("node.id")).alias("component_id"))
     out = base.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
     return out.select(shown_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown_id(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
