@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,24 +40,27 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     others are full. A null id is the smallest long here, and null again in ``packed``.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for pdf in batches:
-            for at in range(0, len(pdf), _BATCH):
-                part = pdf.iloc[at : at + _BATCH]
+        for batch in batches:
+            for at in range(0, batch.num_rows, _BATCH):
+                part = batch.slice(at, _BATCH)
                 rows = []
-                for doc_id, raw in zip(part["doc_id"].tolist(), enc.encode(part["text"].tolist()), strict=True):
+                for doc_id, raw in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist()), strict=True):
                     raw += end
                     n = len(raw) // 4
                     first = n if n <= capacity else n % capacity or capacity
                     bounds = [0, *range(first, n + 1, capacity)]
                     rows += [(doc_id, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     source = docs.select(id_or_least().alias("doc_id"), text_or_empty().alias("text"))
-    return source.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacities: tuple[float, float, float], weights: tuple[float, float, float], rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:

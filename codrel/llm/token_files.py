@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,7 +137,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | Non
     spark = docs.sparkSession
     uri = uri or new_path(spark, "tokens")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         from .tokens import encoder
@@ -145,23 +146,25 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | Non
         fs, top = _file_system(uri)
         part = TaskContext.get().partitionId()
         path, out, writer = f"{top}/{part:08d}-{uuid.uuid4().hex}.bin", None, None
-        for pdf in batches:
-            for at in range(0, len(pdf), _BATCH):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _BATCH):
                 if writer is None:
                     fs.create_dir(top, recursive=True)
                     out = fs.open_output_stream(path)
                     writer = Writer(out, width_of(enc.vocab_size), ids_per_block)
-                some = pdf.iloc[at : at + _BATCH]
-                for doc_id, raw in zip(some["doc_id"].tolist(), enc.encode(some["text"].tolist()), strict=True):
+                some = batch.slice(at, _BATCH)
+                for doc_id, raw in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text").to_pylist()), strict=True):
                     writer.add(doc_id, np.concatenate([np.frombuffer(raw, "<u4"), end]))
         if writer is not None:
             writer.close()
             out.close()
-            yield pd.DataFrame([(path, fs.get_file_info(path).size, part, writer.doc_ids[0], len(writer.doc_ids), writer.n)], columns=["path", "bytes", "part", "first_doc", "n_docs", "n_ids"])
+            row = {"path": path, "bytes": fs.get_file_info(path).size, "part": part, "first_doc": writer.doc_ids[0], "n_docs": len(writer.doc_ids), "n_ids": writer.n}
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row.values(), kinds, strict=True)], list(row))
 
     source = docs.select(id_or_least().alias("doc_id"), text_or_empty().alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    files = written(ordered.mapInPandas(write, "path string, bytes long, part int, first_doc long, n_docs long, n_ids long"), "manifest")
+    files = written(ordered.mapInArrow(write, "path string, bytes long, part int, first_doc long, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("first_doc", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).withColumn("uri", F.lit(uri))
 
