@@ -1,9 +1,12 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-A test item is looked for as overlapping passages of its words, each with an error budget in
-proportion to its length. A passage is cut into budget-plus-one pieces: a copy with at most
-that many edits leaves one piece untouched. One automaton over all pieces scans each whole
-text, and places with an exact piece hit are verified with Myers' bit-parallel edit distance.
+A test item is looked for as every passage of ``size`` words in it, as every one of ``WIDE`` words,
+and as a whole if it has no more than ``WHOLE``, each with an error budget in proportion to its length. k edits leave all but
+``GRAM * k`` of a passage's overlapping grams as they are, on diagonals at most k apart, so
+places with fewer common grams hold no match. Passages too short for that are cut into
+budget-plus-one pieces, of which a copy leaves one untouched; one automaton over the pieces
+scans each whole text. The places left are verified with Myers' bit-parallel edit distance, and
+overlapping places of an item become one.
 
 Texts and items are compared in lower case with every run of other than letters and digits
 as one space. Items are taken in blocks of a bounded number of characters, each block one
@@ -18,10 +21,12 @@ table. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +34,11 @@ from pyspark.sql import functions as F
 from .common import id_or_least, shown_id, text_or_empty
 
 #: Share of a passage's characters that edits may touch; words of a passage and between passage starts.
-ERRORS, PASSAGE, STRIDE, LEAST_WORDS = 1 / 12, 20, 10, 6
+ERRORS, PASSAGE, STRIDE, LEAST_WORDS = 1 / 12, 13, 1, 6
+#: Edits close together are within the budget of wider passages only: words of these, and of items looked for as a whole too.
+WIDE, WHOLE = 20, 25
+#: Letters of the grams that passages and texts are compared by first.
+GRAM = 9
 #: Characters of items in one block.
 BLOCK_CHARS = 4_000_000
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -39,12 +48,21 @@ def normal(text: str) -> str:
     return _NOT_WORD.sub(" ", text.lower()).strip()
 
 
+def spans(text: str, size: int = PASSAGE, stride: int = STRIDE) -> list[tuple[int, str]]:
+    """The passages of a text in normal form with their first characters, in their order."""
+    words = text.split()
+    at = [0]
+    for word in words:
+        at.append(at[-1] + len(word) + 1)
+    found = {(0, len(words))} if 0 < len(words) <= max(size, WHOLE) else set()
+    for n in {size, max(size, WIDE)}:
+        if len(words) > n:
+            found |= {(s, s + n) for s in (*range(0, len(words) - n, stride), len(words) - n)}
+    return [(at[s], text[at[s] : at[e] - 1]) for s, e in sorted(found)]
+
+
 def passages(text: str, size: int = PASSAGE, stride: int = STRIDE) -> list[str]:
-    words = normal(text).split()
-    if len(words) <= size + stride // 2:
-        return [" ".join(words)] if words else []
-    starts = [*range(0, len(words) - size, stride), len(words) - size]
-    return [" ".join(words[s : s + size]) for s in dict.fromkeys(starts)]
+    return [passage for _, passage in spans(normal(text), size, stride)]
 
 
 def budget(passage: str, errors: float = ERRORS, least_words: int = LEAST_WORDS) -> int:
@@ -58,6 +76,18 @@ def pieces(passage: str, k: int) -> list[tuple[int, str]]:
     return [(a, passage[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
+def _grams(text: str) -> np.ndarray:
+    """A hash of the GRAM (2 * 4 + 1) letters from each character on."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(c) < GRAM:
+        return np.zeros(0, np.uint64)
+    by = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+    two = c[:-1] * by[0] + c[1:]
+    four = two[:-2] * by[1] + two[2:]
+    eight = four[:-4] * by[2] + four[4:]
+    return (eight[:-1] * by[3] + c[8:]) * by[0]
+
+
 def myers(pattern: str, text: str) -> tuple[int, int]:
     """The fewest edits between the pattern and any substring of the text, and where the first such substring ends."""
     m = len(pattern)
@@ -91,50 +121,130 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], errors: float = ERRORS, size: int = PASSAGE, stride: int = STRIDE, least_words: int = LEAST_WORDS):
         import ahocorasick
 
-        self.patterns: list[tuple[int, str, int]] = []
-        places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        #: Item, first and end character in ``self.text``, budget of every passage, in order of the first character.
+        self.passages: list[tuple[int, int, int, int]] = []
+        texts, at = [], 0
         for item_id, text in items:
-            for passage in passages(text or "", size, stride):
-                k = budget(passage, errors, least_words)
-                for offset, piece in pieces(passage, k):
-                    places[piece].append((len(self.patterns), offset))
-                self.patterns.append((item_id, passage, k))
-        self.automaton = ahocorasick.Automaton()
-        for piece, at in places.items():
-            self.automaton.add_word(piece, (len(piece), at))
+            text = normal(text or "")
+            for offset, passage in spans(text, size, stride):
+                self.passages.append((item_id, at + offset, at + offset + len(passage), budget(passage, errors, least_words)))
+            texts.append(text)
+            at += len(text) + 1
+        self.text = "\n".join(texts)
+        self.longest = max((e - s for _, s, e, _ in self.passages), default=0)
+        self.most = max((k for *_, k in self.passages), default=0)
+        self.firsts = [s for _, s, _, _ in self.passages]
+        self.empty = not self.passages
+        # k edits leave at least this many of a passage's GRAM-letter grams as they are; where it is none, pieces are sought.
+        self.least = [e - s - GRAM + 1 - k * GRAM for _, s, e, k in self.passages]
+        places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        need = np.zeros(len(self.text) + 1, np.int64)
+        for p, (_, s, e, k) in enumerate(self.passages):
+            if self.least[p] > 0:
+                part = need[s : e - GRAM + 1]
+                need[s : e - GRAM + 1] = np.where(part == 0, self.least[p], np.minimum(part, self.least[p]))
+            else:
+                for offset, piece in pieces(self.text[s:e], k):
+                    places[piece].append((p, offset))
+        self.automaton = ahocorasick.Automaton() if places else None
+        for piece, where in places.items():
+            self.automaton.add_word(piece, (len(piece), where))
         if places:
             self.automaton.make_automaton()
-        self.empty = not places
+        hashes = _grams(self.text)
+        taken = np.flatnonzero(need[: len(hashes)])
+        taken = taken[np.argsort(hashes[taken], kind="stable")]
+        self.need, self.places = need, taken
+        self.hashes, self.at, self.times = np.unique(hashes[taken], return_index=True, return_counts=True)
+        self.shift = np.uint64(64 - max(16, (16 * len(self.hashes)).bit_length()))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[self.hashes >> self.shift] = True
+
+    def _from_grams(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """Passages that share enough grams with the text on near diagonals: passage, and between what characters to look."""
+        if not len(self.hashes):
+            return
+        hashes = _grams(text)
+        hit = np.flatnonzero(self.bits[hashes >> self.shift])
+        found = np.searchsorted(self.hashes, hashes[hit])
+        found[found == len(self.hashes)] = 0
+        same = self.hashes[found] == hashes[hit]
+        hit, found = hit[same], found[same]
+        if not len(hit):
+            return
+        times = self.times[found]
+        at = np.repeat(self.at[found] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        place = self.places[at]
+        # The grams that edits leave lie on diagonals at most ``most`` apart: in one of two overlapping rows of bands.
+        width = self.most + 1
+        band = (np.repeat(hit, times) - place + len(self.text)) // width
+        key = np.concatenate((band, band - 1)) * (len(self.text) + 1) + np.concatenate((place, place))
+        key = np.unique(key)
+        band, place = np.divmod(key, len(self.text) + 1)
+        last = np.arange(len(key)) + self.need[place] - 1
+        near = last < len(key)
+        last = np.minimum(last, len(key) - 1)
+        near &= (band[last] == band) & (place[last] - place <= self.longest - GRAM)
+        tried = set()
+        for i in np.flatnonzero(near).tolist():
+            b, c = int(band[i]), int(place[i])
+            for p in range(bisect_left(self.firsts, c - self.longest + GRAM), bisect_right(self.firsts, c)):
+                _, s, e, k = self.passages[p]
+                if c > e - GRAM or self.least[p] <= 0 or (p, b) in tried:
+                    continue
+                tried.add((p, b))
+                base = b * (len(self.text) + 1)
+                if np.searchsorted(key, base + e - GRAM, "right") - np.searchsorted(key, base + s) >= self.least[p]:
+                    first = s + b * width - len(self.text)
+                    yield p, max(0, first - k), min(len(text), first + 2 * width + e - s + k)
+
+    def _from_pieces(self, text: str) -> Iterator[tuple[int, int, int]]:
+        if self.automaton is None:
+            return
+        for end, (length, where) in self.automaton.iter(text):
+            for p, offset in where:
+                _, s, e, k = self.passages[p]
+                first = end + 1 - length - offset
+                yield p, max(0, first - k), min(len(text), first + e - s + k)
 
     def matches(self, text: str) -> dict[int, tuple[int, int, int]]:
-        """For each item that the text holds: edits, first and last character of its best place in the normal form."""
-        found: dict[int, tuple[int, int, int]] = {}
+        """For each item that the text holds: edits, first and last character of its best place in the normal form.
+
+        Overlapping places of an item's passages are one place, with the fewest edits of any of them.
+        """
         if self.empty or not text:
-            return found
-        starts: dict[int, list[int]] = defaultdict(list)
+            return {}
         text = normal(text)
-        for end, (length, at) in self.automaton.iter(text):
-            for p, offset in at:
-                starts[p].append(end + 1 - length - offset)
-        for p, where in starts.items():
-            item_id, passage, k = self.patterns[p]
+        windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for p, a, b in (*self._from_grams(text), *self._from_pieces(text)):
+            windows[p].append((a, b))
+        hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for p, where in windows.items():
+            item_id, s, e, k = self.passages[p]
+            passage = self.text[s:e]
             where.sort()
-            lo = hi = None
-            windows = []
-            for s in where:  # overlapping windows are searched together, once
-                a, b = max(0, s - k), min(len(text), s + len(passage) + k)
-                if hi is not None and a <= hi:
-                    hi = max(hi, b)
+            merged: list[list[int]] = []
+            for a, b in where:  # overlapping windows are searched together, once
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
                 else:
-                    if hi is not None:
-                        windows.append((lo, hi))
-                    lo, hi = a, b
-            windows.append((lo, hi))
-            for a, b in windows:
-                edits, end = (0, text.find(passage, a, b) - a + len(passage)) if text.find(passage, a, b) >= 0 else myers(passage, text[a:b]) if k else (1, 0)
+                    merged.append([a, b])
+            for a, b in merged:
+                at = text.find(passage, a, b)
+                edits, end = (0, at - a + len(passage)) if at >= 0 else myers(passage, text[a:b]) if k else (1, 0)
                 if edits <= k:
-                    new = (edits, max(0, a + end - len(passage)), a + end)
-                    found[item_id] = min(found.get(item_id, new), new)
+                    hits[item_id].append((max(0, a + end - len(passage)), a + end, edits))
+        found: dict[int, tuple[int, int, int]] = {}
+        for item_id, where in hits.items():
+            where.sort()
+            places: list[tuple[int, int, int]] = []
+            for a, b, edits in where:
+                if places and a <= places[-1][2]:
+                    old = places[-1]
+                    places[-1] = (min(old[0], edits), old[1], max(old[2], b))
+                else:
+                    places.append((edits, a, b))
+            found[item_id] = min(places)
         return found
 
 

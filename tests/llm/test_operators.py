@@ -401,6 +401,36 @@ def test_decontamination(spark, none, block_chars):
     assert decontamination.contaminated(none, bench).count() == 0 and decontamination.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_every_window():
+    """Quotes of 13 words and more from anywhere in an item, and all word windows of the items by distances to all places."""
+    g = random.Random(16)
+    items = [(i, prose(g, n)) for i, n in enumerate((13, 14, 16, 25, 26, 45, 60))] + [(7, "a b c d e f g"), (8, "one in")]
+    matcher = decontamination.Matcher(items)
+    for n in (13, 16, 20, 24):
+        for i, item in items[:7]:
+            words = item.split()
+            for s in range(len(words) - n + 1):
+                assert i in matcher.matches(prose(g, 30) + ", " + " ".join(words[s : s + n]) + ". " + prose(g, 30)), (i, n, s)
+    seen = 0
+    for _ in range(150):
+        i, item = g.choice(items)
+        words = item.split()
+        s = g.randrange(max(1, len(words) - 12))
+        text = decontamination.normal(prose(g, 12) + " " + changed(g, " ".join(words[s : s + 14]), g.randint(0, 9), "xyz ") + " " + prose(g, 12))
+        brute = set()
+        for j, other in items:
+            w = decontamination.normal(other).split()
+            windows = {" ".join(w[a : a + n]) for n in (13, 20) for a in range(max(1, len(w) - n + 1))} | ({" ".join(w)} if len(w) <= 25 else set())
+            if any(decontamination.myers(p, text)[0] <= (len(p) // 12 if p.count(" ") >= 5 else 0) for p in windows):
+                brute.add(j)
+        assert set(matcher.matches(text)) == brute
+        seen += len(brute)
+    assert seen > 60
+    long = items[6][1].split()
+    edits_, start, end = matcher.matches("xx " + " ".join(long[5:45]) + " yy")[6]
+    assert edits_ == 0 and start <= 3 and end >= 3 + len(decontamination.normal(" ".join(long[5:45])))
+
+
 # -- n-gram Jaccard join -----------------------------------------------------------------------------------
 
 
