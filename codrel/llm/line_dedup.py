@@ -3,7 +3,8 @@
 A line is removed if an earlier line, of the same document or another, is within
 ``max_edits`` edits of it (0 edits: an equal line). Earlier means a smaller doc_id, then a
 smaller line number. Lines below ``least_chars`` characters (white space at the ends not
-counted) are never removed.
+counted) are too short for the edit join; they are removed only as repeats of equal lines, and
+only from ``least_equal`` characters on (None: ``least_chars``), blank ones never.
 
 Equal lines collapse to their first occurrence. Distinct lines are then cut into
 ``max_edits + 1`` segments; of two lines within the bound, one segment of the shorter stands
@@ -36,13 +37,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+def lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_equal: int | None = None) -> DataFrame:
     """doc_id, text_hash, line_no, line of every line that takes part."""
     source = docs.select(
         id_or_least().alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line")
     )
     trimmed = source.withColumn("line", F.trim("line"))
-    return trimmed.filter(F.char_length("line") >= least_chars)
+    equal = F.lit(False) if least_equal is None else (F.char_length("line") >= least_equal) & F.col("line").rlike(r"\S")
+    return trimmed.filter((F.char_length("line") >= least_chars) | equal)
 
 
 def distinct_lines(all_lines: DataFrame) -> DataFrame:
@@ -169,11 +171,11 @@ def near(distinct: DataFrame, k: int, broadcast_rows: int = BROADCAST_ROWS) -> D
     return joined.filter(edit_distance(F.col("l_line"), F.col("e_line"), k) <= k).select(*(F.col(f"l_{c}").alias(c) for c in _AT)).distinct()
 
 
-def removed(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def removed(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS, least_equal: int | None = None) -> DataFrame:
     """doc_id (the smallest long for null), text_hash and the ascending numbers of the lines to remove, for documents that have any."""
-    found = lines(docs, least_chars)
+    found = lines(docs, least_chars, least_equal)
     distinct = written(distinct_lines(found), "lines")
-    later = near(distinct, max_edits).withColumn("near", F.lit(True)) if max_edits else None
+    later = near(distinct.filter(F.char_length("line") >= least_chars), max_edits).withColumn("near", F.lit(True)) if max_edits else None
     first = distinct.select("h1", "h2", *_AT)
     first = first.join(later, list(_AT), "left") if later is not None else first.withColumn("near", F.lit(False))
     first = first.select("h1", "h2", F.struct(*_AT).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
@@ -182,18 +184,18 @@ def removed(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAS
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
-def report(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def report(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS, least_equal: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, removed for every document; line numbers count from 0."""
     own = docs.select(id_or_least().alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), F.size(F.split(text_or_empty(), "\n")).alias("n_lines"))
-    out = own.join(removed(docs, max_edits, least_chars), ["doc_id", "text_hash"], "left")
+    out = own.join(removed(docs, max_edits, least_chars, least_equal), ["doc_id", "text_hash"], "left")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select(shown_id(F.col("doc_id")).alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
 
 
-def apply(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def apply(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS, least_equal: int | None = None) -> DataFrame:
     """``docs`` with the lines taken out of their texts; a document that loses all its lines goes."""
     keyed = docs.withColumns({"_codrel_id": id_or_least(), "_codrel_hash": F.xxhash64(text_or_empty())})
-    gone = removed(docs, max_edits, least_chars).select(F.col("doc_id").alias("_codrel_id"), F.col("text_hash").alias("_codrel_hash"), F.col("removed").alias("_codrel_removed"))
+    gone = removed(docs, max_edits, least_chars, least_equal).select(F.col("doc_id").alias("_codrel_id"), F.col("text_hash").alias("_codrel_hash"), F.col("removed").alias("_codrel_removed"))
     joined = keyed.join(gone, ["_codrel_id", "_codrel_hash"], "left")
     parts = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_codrel_removed", i))
     touched = joined.withColumn("_codrel_left", F.when(F.col("_codrel_removed").isNotNull(), F.array_join(parts, "\n")).otherwise(F.col("text")))

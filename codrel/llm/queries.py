@@ -42,7 +42,7 @@ def op4_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_segment_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(table(spark, sf_dir, "documents"), least_equal=1)
 
 
 def op6_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

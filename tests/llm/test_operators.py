@@ -286,6 +286,17 @@ def test_line_dedup(spark, none, monkeypatch, broadcast_rows):
     assert line_dedup.report(none).count() == 0 and line_dedup.apply(none).columns == none.columns
 
 
+def test_short_equal_lines(spark, tmp_path):
+    from codrel.llm import queries
+
+    rows = [(1, "a\nIetzte.\n\nIetzte.\n \t"), (2, "Ietzte. \nIetzt.\n\n \t\nb"), (3, "b\na")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed for r in queries.op5_segment_partition(spark, str(tmp_path)).collect()}
+    assert got == {1: [3], 2: [0], 3: [0, 1]}
+    kept = line_dedup.apply(spark.createDataFrame(rows, "doc_id long, text string"), least_equal=1)
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, "a\nIetzte.\n\n \t"), (2, "Ietzt.\n\n \t\nb")}
+
+
 # -- pages -----------------------------------------------------------------------------------------
 
 
