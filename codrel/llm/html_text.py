@@ -2,7 +2,7 @@
 
 A page is read into a tree of elements and blocks of text. Parts that are never article text
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles, what
-is hidden) are cut off. Each remaining block earns points for its length and its commas,
+is hidden) are cut off; a class or id alone does not cut the element that holds the article. Each remaining block earns points for its length and its commas,
 discounted by the share of its text inside links; the points go to its container, half of
 them to the next one up, and less to those further up. The best container, discounted by its
 own link density, is kept with the siblings that score well beside it; inside an article or
@@ -38,6 +38,10 @@ _CUT_NAMES = frozenset(
     "masthead topbar footer comment comments reply replies disqus discussion respond cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup "
     "popup modal overlay paywall related recommended share sharing social widget pagination pager login".split()
 )
+#: Of these, parts written by readers: long ones are no reason to take them for the article.
+_READERS = frozenset("comment comments reply replies disqus discussion respond".split())
+#: "has-sidebar", "noBanner": the name says that something else has the part, or that there is none.
+_PREFIXES = frozenset("has no not with without".split())
 _KEEP_TAGS = frozenset(("html", "body", "article", "main"))
 #: A start tag of the first set closes open elements of the second, but not past one of the third.
 _CLOSES = {
@@ -52,36 +56,84 @@ _CLOSES = {
 
 
 class _Node:
-    __slots__ = ("tag", "up", "cut", "inside", "points", "chars", "linked", "blocks", "order")
+    __slots__ = ("tag", "up", "cut", "inside", "named", "text", "main", "points", "chars", "linked", "blocks", "order")
 
-    def __init__(self, tag: str, up: "_Node | None", cut: bool, inside: bool):
-        self.tag, self.up, self.cut, self.inside = tag, up, cut, inside
+    def __init__(self, tag: str, up: "_Node | None", cut: bool, inside: bool, named: int = 0):
+        self.tag, self.up, self.cut, self.inside, self.named = tag, up, cut, inside, named
+        self.text, self.main = 0, False
         self.points, self.chars, self.linked = 0.0, 0, 0
         self.blocks = 0
 
 
-def _is_cut(tag: str, attributes: str, inside: bool) -> bool:
+def _words(value: str) -> set[str]:
+    """The words of class or id names, without those after a prefix such as "has"."""
+    found: set[str] = set()
+    for name in value.split():
+        for word in re.split(r"[^a-z0-9]+", _CAMEL.sub(" ", name).lower()):
+            if word in _PREFIXES:
+                break
+            found.add(word)
+    return found
+
+
+def _is_cut(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
+    """Whether the element is cut off for certain; whether its class or id says so (1, and 2 for a part written by readers)."""
     if tag in _CUT_TAGS or tag == "header" and not inside:
-        return True
+        return True, 0
+    named = 0
     if not attributes or tag in _KEEP_TAGS:
-        return False
+        return False, named
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = re.split(r"[^a-z0-9]+", _CAMEL.sub(" ", value).lower())
+            words = _words(value)
             if not _CUT_NAMES.isdisjoint(words) or "header" in words and not inside:
-                return True
+                named = max(named, 1 if _READERS.isdisjoint(words) else 2)
         elif name == "role" and value.lower() in _CUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, named
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, named
+    return False, named
+
+
+def _without_named(made: list[_Node], found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """The blocks outside of elements cut by class or id. A name does not cut what holds the article.
+
+    That is an element with most of the page's text, a main, or an article longer than all text outside
+    of such elements; none if there is an article or main outside, or if readers wrote it.
+    """
+    if not any(n.named for n in made):
+        return found
+    outside = {id(n): not n.named for n in made if n.up is None}
+    for n in made:  # an element comes after the one it is in
+        if n.up is not None:
+            outside[id(n)] = outside[id(n.up)] and not n.named
+    free = 0
+    for block, text, _ in found:
+        free += len(text) if outside[id(block)] else 0
+        block.text += len(text)
+    whole = sum(len(text) for _, text, _ in found)
+    article = {}
+    for n in reversed(made):
+        if n.tag in ("article", "main") and not n.cut:
+            article[id(n)] = n.text
+            n.main |= n.tag == "main"
+        if n.up is not None:
+            n.up.text += n.text
+            n.up.main |= n.main and not n.cut
+            article[id(n.up)] = max(article.get(id(n.up), 0), article.get(id(n), 0))
+    apart = any(outside[id(n)] and n.tag in ("article", "main") and n.text for n in made)
+    left: dict[int, bool] = {}
+    for n in made:
+        stays = not n.named or n.named == 1 and not apart and (2 * n.text > whole or n.main and n.text > 0 or article.get(id(n), 0) > free)
+        left[id(n)] = stays and (n.up is None or left[id(n.up)])
+    return [b for b in found if left[id(b[0])]]
 
 
 def blocks_of(page: str) -> list[tuple[_Node, str, int]]:
     """The page's blocks outside of what is cut off: element, text, characters in links."""
     root = _Node("", None, False, False)
-    stack, out = [root], []
+    stack, out, made = [root], [], [root]
     parts: list[tuple[str, bool]] = []
     links = 0
 
@@ -151,8 +203,9 @@ def blocks_of(page: str) -> list[tuple[_Node, str, int]]:
             continue
         up = stack[-1]
         inside = up.inside or tag in ("article", "main")
-        node = _Node(tag, up, up.cut or _is_cut(tag, m[3], inside), inside)
-        if tag in _INLINE and node.cut and not up.cut:
+        cut, named = _is_cut(tag, m[3], inside)
+        node = _Node(tag, up, up.cut or cut, inside, named)
+        if tag in _INLINE and (node.cut or named) and not up.cut:
             end_block_node = node  # a hidden or advert span: its text must not enter the block
             stack.append(end_block_node)
             closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -160,9 +213,10 @@ def blocks_of(page: str) -> list[tuple[_Node, str, int]]:
             stack.pop()
             continue
         stack.append(node)
+        made.append(node)
         links += tag == "a"
     end_block()
-    return out
+    return _without_named(made, out)
 
 
 def _share(node: _Node) -> float:

@@ -319,6 +319,18 @@ def test_html_extraction(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_html_wrappers_named_like_parts():
+    body = "<h1>Title</h1><p>First, second, third and more of the text, going on for a while.</p><p>And another paragraph, with commas, and an end.</p>"
+    text = "Title\n\nFirst, second, third and more of the text, going on for a while.\n\nAnd another paragraph, with commas, and an end."
+    ad, remarks = '<div class="ad"><p>Buy, buy, buy.</p></div>', '<div id="comments">' + "<article><p>Nice, very, very nice, yes, indeed, so nice.</p></article>" * 9 + "</div>"
+    for inner in (body, f"<article>{body}</article>", f"<main>{body}</main>"):
+        for name in ('class="layout has-sidebar"', 'id="no-banner"', 'class="with-nav"', 'class="content-widget"', 'class="contentWidget" id="promo"'):
+            assert html_text.main_text(f"<body><div {name}>{inner}{ad}</div></body>") == text, (inner, name)
+        assert html_text.main_text(f'<body><div class="page-widget"><div class="content-widget">{inner}</div>{ad}</div></body>') == text
+        assert html_text.main_text(f'<body><div class="content">{inner}</div>{ad}{remarks}</body>') == text
+        assert html_text.main_text(f'<body><div class="content">{inner}</div><div class="related"><p>More, here.</p></div></body>') == text
+
+
 # -- fingerprints ------------------------------------------------------------------------------------
 
 
