@@ -5,22 +5,44 @@ its left to what precedes it. A text can therefore be cut before its spaces, and
 encoded once and remembered. Texts for which that cut is not safe (runs of white space,
 special tokens in the text) are encoded whole by the library, so ids always equal
 ``Tokenizer.encode(text, add_special_tokens=False).ids``.
+
+New words are encoded many at a time by the library's merge model alone, without its
+pre-tokenizer, parted by a byte that no merge takes. That gives the same ids for a word whose
+parts (letters, digits, marks) meet only in pairs of bytes that no token holds, for then no
+merge crosses a cut that the pre-tokenizer would have made; other words take the whole way.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
 #: White space around a space, or a space at an end of the text: the cut is not safe there.
 _UNSAFE = re.compile(r"\s \s|\s \Z|\A |\A\Z")
+#: Runs of letters (and a few number signs, sorted out later), of decimal digits, and of others.
+_RUNS = re.compile(r"[^\W\d_]+|\d+|[\W_]+")
 #: Words kept per worker process. Words met later are encoded batch by batch and not kept.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 800_000
+#: Marks that the pre-tokenizer cuts from the letters before them, and that start no contraction.
+_MARKS = ".,;:!?)]\"}"
 #: Words encoded in one call of the library.
-_RUN = 400
+_RUN = 300
+
+
+def _byte_letters() -> list[str]:
+    """The character that a byte-level vocabulary writes for each byte: itself if it is visible in Latin-1, else the next one from 256 on."""
+    letters, free = [], 256
+    for b in range(256):
+        visible = 33 <= b <= 126 or 161 <= b <= 255 and b != 173
+        letters.append(chr(b) if visible else chr(free))
+        free += not visible
+    return letters
 
 
 class Encoder:
@@ -29,20 +51,70 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.vocab_size = size
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.vocab_size = size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # A byte-level vocabulary writes each byte as one character.
         self.widths = np.zeros(size, np.int64)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+        for token, i in vocabulary.items():
             self.widths[i] = len(token)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words_kept = words_kept
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self._prepare(Tokenizer, vocabulary)
+
+    def _prepare(self, kind, vocabulary: dict[str, int]) -> None:
+        """The merge model alone, its letters, the pairs of bytes inside tokens, and a byte for between words."""
+        self.model, letters = None, _byte_letters()
+        plan = json.loads(self.tokenizer.to_str())
+        cutter = plan["pre_tokenizer"] or {}
+        if plan["normalizer"] or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True) or plan["model"]["type"] != "BPE":
+            return
+        tokens = [t for t in vocabulary if t not in self.special]
+        held = set().union(*(t for t in tokens if len(t) > 1))
+        free = [letters[b] for b in (0xFF, 0xFE, 0xC0, 0xC1) if letters[b] in vocabulary and letters[b] not in held]  # no byte of UTF-8
+        if free:
+            self.model, self.between, self.between_id = kind(self.tokenizer.model), free[0], vocabulary[free[0]]
+            self.letters = dict(enumerate(letters))
+            self.pairs = {t[i : i + 2] for t in tokens for i in range(len(t) - 1)}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
+    def _plain(self, word: str) -> bool:
+        """Whether merges alone give the word's ids: no merge can cross from one of its parts to the next."""
+        if word.isalpha():
+            return True
+        if "'" in word:
+            return False
+        parts = _RUNS.findall(word)
+        for part in parts:
+            if not (part.isalpha() or part.isascii() and (part.isdigit() or sum(map(str.isspace, part)) == 0)):
+                if not (part.isascii() and len(part) == 2 and part[1] == "\n" and not part[0].isspace()):  # a mark and a new line
+                    return False
+        cuts = list(zip(parts, parts[1:], strict=False)) + [(p[0], p[1]) for p in parts if p[-1] == "\n"]
+        for a, b in cuts:
+            x, y = a[-1].encode()[-1], b[0].encode()[0]
+            if self.letters[x] + self.letters[y] in self.pairs:
+                return False
+        return True
+
+    def _merged(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of plain words with a space before each, by the merge model."""
+        out: dict[str, bytes] = {}
+        runs = [words[i : i + _RUN] for i in range(0, len(words), _RUN)]
+        mark = self.letters[0]
+        made = [(" " + "\0 ".join(run)).encode().decode("latin-1").translate(self.letters).replace(mark, self.between) for run in runs]
+        for run, e in zip(runs, self.model.encode_batch_fast(made, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(ids == self.between_id)
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(run, (*(4 * ends).tolist(), len(raw)), strict=True):
+                out[word] = raw[at:end]
+                at = end + 4
+        return out
+
+    def _cut_by_width(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each word with a space before it; the words are joined to runs and the ids cut again by their byte widths."""
         out: dict[str, bytes] = {}
         runs = [words[i : i + _RUN] for i in range(0, len(words), _RUN)]
@@ -57,36 +129,64 @@ class Encoder:
                 at = 4 * cut
         return out
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words with a space before each, and of the letters alone of those that end in marks."""
+        if self.model is None:
+            return self._cut_by_width(words)
+        known, wanted, marked, other = self.known, set(), [], []
+        for w in words:
+            if w.isalpha():
+                wanted.add(w)
+                continue
+            letters = w.rstrip(_MARKS)
+            if letters.isalpha():
+                marked.append((w, letters, w[len(letters) :]))
+                if letters not in known:
+                    wanted.add(letters)
+            elif "\0" not in w and self._plain(w):
+                wanted.add(w)
+            else:
+                other.append(w)
+        out = self._merged(list(wanted)) | self._cut_by_width(other)
+        new = list({marks for *_, marks in marked}.difference(self.marks))
+        self.marks.update(zip(new, self._whole(new), strict=True))
+        for w, letters, marks in marked:
+            out[w] = (known.get(letters) or out[letters]) + self.marks[marks]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
-        whole, firsts, split = [], [], []
+        known = self.known
+        whole: list[int] = []
+        split: list[tuple[int, str, list[str], list[bytes | None], list[str]]] = []
+        missing: set[str] = set()
         for k, text in enumerate(texts):
-            if _UNSAFE.search(text) or any(s in text for s in self.special):
+            first, *rest = text.split(" ")
+            if not first or any(s in text for s in self.special):
                 whole.append(k)
-            else:
-                first, *rest = text.split(" ")
-                firsts.append(first)
-                split.append((k, rest))
+                continue
+            ids = list(map(known.get, rest))
+            new = list(compress(rest, map(is_, ids, repeat(None)))) if None in ids else []
+            missing.update(new)
+            split.append((k, first, rest, ids, new))
+        # Words that start or end with white space meet the spaces around them; they are never kept.
+        odd = {w for w in missing if not w or len(w.strip()) < len(w)}
+        if odd:
+            unsafe = {s[0] for s in split if not odd.isdisjoint(s[4]) and _UNSAFE.search(texts[s[0]])}
+            whole += sorted(unsafe)
+            split = [s for s in split if s[0] not in unsafe]
+            missing = set().union(*(s[4] for s in split))
+            odd &= missing
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
             out[k] = ids
         if split:
-            known = self.known
-            missing = list(set().union(*(rest for _, rest in split)).difference(known))
-            # A word that starts with white space would meet the space before it.
-            odd = [w for w in missing if w[:1].isspace() or w[-1:].isspace()]
-            new = self._words([w for w in missing if not (w[:1].isspace() or w[-1:].isspace())]) if missing else {}
-            new.update(zip(odd, self._whole([" " + w for w in odd]), strict=True))
+            fresh = self._words(list(missing - odd))
             room = self.words_kept - len(known)
-            if room >= len(new):
-                known.update(new)
-                get = known.__getitem__
-            else:
-                for w in list(new)[: max(0, room)]:
-                    known[w] = new[w]
-                get = lambda w: known.get(w) or new[w]
-            for (k, rest), head in zip(split, self._whole(firsts), strict=True):
-                out[k] = head + b"".join(map(get, rest))
+            known.update(fresh if room >= len(fresh) else {w: fresh[w] for w in list(fresh)[: max(0, room)]})
+            fresh.update(zip(odd, self._whole([" " + w for w in odd]), strict=True))
+            for (k, _, rest, ids, new), head in zip(split, self._whole([s[1] for s in split]), strict=True):
+                out[k] = head + b"".join([fresh[w] if i is None else i for w, i in zip(rest, ids, strict=True)] if new else ids)
         return out  # type: ignore[return-value]
 
 
