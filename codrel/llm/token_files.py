@@ -14,8 +14,10 @@ one seek reads any document. Files are written under a name of their task attemp
 those that the manifest lists are read, so a lost executor's half-written file is never seen.
 
 Defined results: a null or empty text holds only the end id; documents that share an id follow
-each other; a null id is written as the smallest int64 and read back as null; an empty table
-gives no files and an empty result.
+each other in the order of their texts' hashes, repeated rows too, in as many files as their
+number asks for; a null id is written as the smallest int64 and read back as null; a very long
+text runs through several blocks of one file; an empty table gives no files and an empty
+result. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_or_least, new_path, text_or_empty, written
+from .common import NO_ID, id_or_least, new_path, shuffle_partitions, text_or_empty, written
 
 MAGIC = b"BITTOK1\n"
 FOOTER = struct.Struct("<5q")
 IDS_PER_BLOCK = 1 << 16
+BYTES_PER_FILE = 64 << 20
 _BATCH = 256
 
 
@@ -131,8 +134,9 @@ class Reader:
 def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | None = None, ids_per_block: int = IDS_PER_BLOCK) -> DataFrame:
     """Writes the files and returns their manifest: path, bytes, first_doc, part, n_docs, n_ids, base (ids of earlier files).
 
-    Range partitioning puts documents in ascending order into as many files as the session's
-    shuffle partitions give; the manifest has one row a file.
+    Range partitioning puts documents in ascending order into one file for every ``BYTES_PER_FILE``
+    of text, and as many as the session has shuffle partitions at least. Ranges are cut by id, text
+    hash and row, so rows that share an id are not one range. The manifest has one row a file.
     """
     spark = docs.sparkSession
     uri = uri or new_path(spark, "tokens")
@@ -162,10 +166,12 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | Non
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row.values(), kinds, strict=True)], list(row))
 
-    source = docs.select(id_or_least().alias("doc_id"), text_or_empty().alias("text"))
-    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    source = docs.select(id_or_least().alias("doc_id"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    key = ["doc_id", "hash", "row"]
+    ordered = source.repartitionByRange(max(shuffle_partitions(spark), -(-size // BYTES_PER_FILE)), *key).sortWithinPartitions(*key)
     files = written(ordered.mapInArrow(write, "path string, bytes long, part int, first_doc long, n_docs long, n_ids long"), "manifest")
-    before = Window.orderBy("first_doc", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).withColumn("uri", F.lit(uri))
 
 
@@ -194,5 +200,5 @@ def read_files(manifest: DataFrame, ids: bool = False) -> DataFrame:
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * ids]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
-    files = manifest.select("uri", "path", "bytes", "base").repartition(F.col("path"))
+    files = manifest.select("uri", "path", "bytes", "base").repartition(max(1, manifest.count()), "path")  # one task a file, more or less
     return files.mapInPandas(read, schema)
