@@ -6,14 +6,17 @@ by its class log-count ratio, each text to unit length, and a hinge-loss model i
 dual coordinate descent. Margins become scores from 0 to 1 by a logistic curve fitted on
 rows that the model for it has not seen.
 
-The model is fitted on a bounded sample of labelled rows: ``most_rows`` rows with the lowest
-hashes of their ids. It is 2**BITS numbers whatever the corpus, so scoring ships it with the
-task. Nothing but the text enters a score.
+The model is fitted on a bounded sample of labelled rows: ``most_rows`` ids with the lowest
+hashes, one text each, in one task of an executor. It is 2**BITS numbers whatever the corpus,
+so the driver passes it on and scoring ships it with the task. Nothing but the text enters a score.
 
 Defined results: a null text scores as the empty text, which has no features and so the
-score of the bias alone; equal texts score equally; rows without a label, or with labels that
-contradict each other, are not learned from; with no labels of one class every score is the
-share of label 1 (0.5 without labels); an empty table gives an empty table.
+score of the bias alone; a very long text counts each n-gram once, like any other; equal texts
+score equally; of rows that repeat an id the text of the lowest hash is learned from and each is
+scored; rows without a label, or with labels that contradict each other, are not learned from;
+with no labels of one class every score is the share of label 1 (0.5 without labels); an empty
+table gives an empty table. Other columns pass through ``score``, which replaces a column of the
+name it is given.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import shuffle_partitions, text_or_empty
 
 BITS = 18
 SLOTS = 1 << BITS
@@ -40,7 +43,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _slots_of(kind: int, value: int) -> np.ndarray:
-    return np.array([hash((COPIES, kind, value, c)) % SLOTS for c in range(COPIES)])
+    """Slots of a pattern of repeats, by the mixer that the n-grams use."""
+    code = (((kind << 32 | value) << 8) + np.arange(COPIES)).astype(np.uint64) + np.uint64(9 << 56)
+    return (code * _MIX ^ (code >> np.uint64(7))) * _MIX >> np.uint64(64 - BITS)
 
 
 def features(text: str) -> np.ndarray:
@@ -174,13 +179,24 @@ def fit_table(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) ->
     marks = marks.filter((F.col("label") == F.col("_other")) & F.col("doc_id").isNotNull()).select("doc_id", "label")
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)  # bounded, so it may be broadcast
     wanted = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(marks), "doc_id")
+    one = wanted.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # repeated ids end here, before anything gathers them
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "slots": [features(t).tobytes() for t in pdf["text"]]})
 
-    made = wanted.mapInPandas(slots, "doc_id long, label int, slots binary").toPandas().sort_values("doc_id").drop_duplicates("doc_id")
-    return fit([np.frombuffer(x, np.int32) for x in made["slots"]], made["label"].to_numpy(int))
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [(d, y, np.frombuffer(x, np.int32)) for pdf in batches for d, y, x in zip(pdf["doc_id"].tolist(), pdf["label"].tolist(), pdf["slots"], strict=True)]
+        parts.sort(key=lambda p: p[0])
+        m = fit([x for *_, x in parts], np.array([y for _, y, _ in parts], int))
+        yield pd.DataFrame({"weights": [m.weights.astype("<f4").tobytes()], "squares": [m.squares.astype("<f4").tobytes()], "bias": [m.bias], "slope": [m.slope], "offset": [m.offset]})
+
+    spread = one.repartition(shuffle_partitions(docs.sparkSession), "doc_id")
+    made = spread.mapInPandas(slots, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, slots binary").repartition(1)  # ``most_rows`` rows at most
+    found = made.mapInPandas(fitted, "weights binary, squares binary, bias double, slope double, offset double").first()
+    if found is None:
+        return fit([], np.zeros(0, int))
+    return Model(np.frombuffer(found["weights"], "<f4"), np.frombuffer(found["squares"], "<f4"), found["bias"], found["slope"], found["offset"])
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
