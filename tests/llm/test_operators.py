@@ -417,7 +417,7 @@ def test_decontamination(spark, none, block_chars):
     for d, t in rows:
         text = decontamination.normal(t or "")
         for i, item in items:
-            if i is not None and any(decontamination.myers(p, text)[0] <= decontamination.budget(p) for p in decontamination.passages(item or "")):
+            if i is not None and any(decontamination.myers(f" {p} ", f" {text} ")[0] <= decontamination.budget(p) for p in decontamination.passages(item or "")):
                 brute.add((d, i))
     assert set(pairs) == brute and expected <= brute
     assert sorted(r.doc_id for r in decontamination.clean(df, bench).filter("doc_id is not null").collect()) == sorted(d for d, _ in rows if d is not None and d not in {x for x, _ in brute})
@@ -443,8 +443,8 @@ def test_decontamination_finds_every_window():
         brute = set()
         for j, other in items:
             w = decontamination.normal(other).split()
-            windows = {" ".join(w[a : a + n]) for n in (13, 20) for a in range(max(1, len(w) - n + 1))} | ({" ".join(w)} if len(w) <= 25 else set())
-            if any(decontamination.myers(p, text)[0] <= (len(p) // 12 if p.count(" ") >= 5 else 0) for p in windows):
+            windows = {" ".join(w[a : a + n]) for n in (13, 20) for a in range(max(1, len(w) - n + 1))} | {" ".join(w)}
+            if any(decontamination.myers(f" {p} ", f" {text} ")[0] <= (len(p) // 12 if p.count(" ") >= 5 else 0) for p in windows):
                 brute.add(j)
         assert set(matcher.matches(text)) == brute
         seen += len(brute)
@@ -454,6 +454,18 @@ def test_decontamination_finds_every_window():
     assert edits_ == 0 and start <= 3 and end >= 3 + len(decontamination.normal(" ".join(long[5:45])))
 
 
+def test_decontamination_keeps_clean_rows_and_words_whole(spark):
+    matcher = decontamination.Matcher([(1, "the"), (2, "art is")])
+    assert not matcher.matches("some other word, isolated") and not matcher.matches("start isolated")
+    assert set(matcher.matches("The art, is")) == {1, 2}
+    g = random.Random(4)
+    item, fine = prose(g, 30), prose(g, 40)
+    rows = [(None, fine), (None, "x " + item), (7, fine), (7, item + " y"), (7, None), (8, fine), (8, fine)]
+    df = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, text_hash int")
+    left = decontamination.clean(df, spark.createDataFrame([(1, item), (2, "")], "item_id long, text string"))
+    assert left.columns == df.columns and sorted(r.text_hash for r in left.collect()) == [0, 2, 4, 5, 6]
+
+
 # -- n-gram Jaccard join -----------------------------------------------------------------------------------
 
 
