@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from .positions import POS
 from .vector import Vector
@@ -29,6 +31,12 @@ def join_indices_naive(left: list, right: list) -> list[tuple[int, int]]:
     return [(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if x == y]
 
 
+def matching_indices(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left, right) positions of two inputs (pos, key) with equal keys, by a merge of both in key order; equal runs give their full product."""
+    a, b = left.select(F.col("pos").alias("left"), F.col("key").alias("_a")), right.select(F.col("pos").alias("right"), F.col("key").alias("_b"))
+    return a.hint("merge").join(b, F.col("_a").eqNullSafe(F.col("_b"))).select("left", "right")
+
+
 def uniq(vector: Vector, *columns: str) -> Vector:
     return vector.uniq(*columns)
 
@@ -74,6 +82,11 @@ def zip_names(df: DataFrame, names: list[str]) -> DataFrame:
     return df.toDF(*names)
 
 
+def constant_record(schema: StructType, f: Callable[[DataType], Any]) -> dict[str, Column]:
+    """A literal for each field, made from its type alone."""
+    return {field.name: F.lit(f(field.dataType)).cast(field.dataType).alias(field.name) for field in schema.fields}
+
+
 def show_record(*columns: str) -> Column:
     """``name: value, name: value`` as one string."""
     return F.concat_ws(", ", *(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null"))) for c in columns))

@@ -2,37 +2,44 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POS = "_pos"
-#: Up to so many rows a single window is cheaper than buckets.
-ONE_WINDOW = 50_000
-ROWS_PER_BUCKET, MOST_BUCKETS, SAMPLED = 100_000, 512, 16_384
+#: Up to so many rows one window in one task is cheaper than buckets; it is also the size of a bucket.
+ONE_WINDOW = ROWS_PER_BUCKET = 500_000
+#: Sampled keys for each bucket.
+DRAWS = 32
 RUN = 65_536
 
 
 def with_positions(df: DataFrame, *order: str) -> DataFrame:
     """Adds ``_pos``, 0 to n - 1 in ascending ``order`` (nulls first).
 
-    Rows fall into buckets of the first order column at sampled quantiles, are numbered within
+    Rows fall into buckets at sampled quantiles of all order columns together, are numbered within
     their bucket, and are shifted by the rows of the buckets before: one shuffle, and one row
-    a bucket on the driver.
+    a bucket on the driver. Rows that tie in every order column may be numbered in any order.
     """
     n = df.count()
     by = [F.col(c).asc_nulls_first() for c in order]
     if n <= ONE_WINDOW:
         return df.withColumn(POS, (F.row_number().over(Window.orderBy(*by)) - 1).cast("long"))
-    buckets = min(MOST_BUCKETS, max(2, n // ROWS_PER_BUCKET))
-    key = F.col(order[0])
-    kind = df.schema[order[0]].dataType
-    sample = df.filter(key.isNotNull()).select(key.alias("k")).sample(min(1.0, SAMPLED / n), seed=7).distinct().orderBy("k").collect()
+    buckets = -(-n // ROWS_PER_BUCKET)
+    key = F.struct(*(F.col(c) for c in order))
+    kind = df.select(key.alias("k")).schema["k"].dataType
+    sample = df.select(key.alias("k")).sample(min(1.0, DRAWS * buckets / n), seed=7).distinct().orderBy("k").collect()
     step = max(1, len(sample) // buckets)
-    splits = [F.lit(r["k"]).cast(kind) for r in sample[step::step]]
-    bucket = F.coalesce(F.size(F.filter(F.array(*splits), lambda s: s <= key)), F.lit(-1)) if splits else F.lit(0)
-    placed = df.withColumn("_bucket", bucket)
+    splits = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r["k"], kind.fields, strict=True))) for r in sample[step::step]]
+    # Two levels of splitters, so that a row is compared with two short lists.
+    wide = max(1, math.isqrt(len(splits)))
+    groups = [splits[i : i + wide] for i in range(0, len(splits), wide)]
+    count = lambda of: F.size(F.filter(of, lambda s: s <= key))
+    group = count(F.array(*(g[0] for g in groups)))
+    within = F.when(group > 0, (group - 1) * wide + count(F.get(F.array(*(F.array(*g) for g in groups)), group - 1)))
+    placed = df.withColumn("_bucket", F.coalesce(within, F.lit(0)) if splits else F.lit(0))
     sizes = sorted((r["_bucket"], r["count"]) for r in placed.groupBy("_bucket").count().collect())
     before, total = [], 0
     for b, rows in sizes:

@@ -13,11 +13,11 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .positions import POS, all_equal, combine, running, with_positions
+from .positions import POS, RUN, all_equal, combine, running, with_positions
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -574,10 +574,17 @@ class Vector:
 
 
 def runs(df: DataFrame, column: str) -> DataFrame:
-    """Rows that differ from the row one position before: an equi-join on the position, so no single-task window."""
-    before = df.select((F.col(POS) + 1).alias(POS), F.col(column).alias("_before"), F.lit(True).alias("_has"))
-    joined = df.join(before, POS, "left")
-    return joined.filter(F.col("_has").isNull() | ~F.col(column).eqNullSafe(F.col("_before"))).drop("_before", "_has")
+    """Rows that differ from the row one position before.
+
+    Rows are compared within runs of ``RUN`` positions; the first of a run meets the last of the
+    run before by the run's number, which both sides are already dealt by.
+    """
+    run = F.floor(F.col(POS) / RUN)
+    ends = df.filter(F.col(POS) % RUN == RUN - 1).select((run + 1).alias("_run"), F.struct(F.col(column).alias("v")).alias("_end"))
+    order = Window.partitionBy("_run").orderBy(POS)
+    placed = df.withColumn("_run", run).withColumn("_before", F.lag(F.struct(F.col(column).alias("v"))).over(order))
+    joined = placed.join(ends, "_run", "left").withColumn("_before", F.coalesce("_before", "_end"))
+    return joined.filter(F.col("_before").isNull() | ~F.col(column).eqNullSafe(F.col("_before.v"))).drop("_run", "_before", "_end")
 
 
 class MutableVector:
@@ -592,6 +599,10 @@ class MutableVector:
 
     new = unsafe_new = replicate
 
+    @classmethod
+    def replicate_m(cls, spark: SparkSession, n: int, action: Callable[[], Any], schema: StructType | str) -> MutableVector:
+        return cls(Vector.replicate_m(spark, n, action, schema))
+
     def clone(self) -> MutableVector:
         return MutableVector(self.vector)
 

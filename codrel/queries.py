@@ -216,14 +216,12 @@ def join_indices(s, d):
 
 @query("SELECT event_id, event_type FROM (SELECT event_id, event_type, lag(event_type) OVER (ORDER BY event_id) p FROM events) WHERE p IS DISTINCT FROM event_type")
 def uniq_runs(s, d):
-    from .operators.vector import runs
-
-    return runs(_events(s, d, "event_type")._df, "event_type").select("event_id", "event_type")
+    return _events(s, d, "event_type").uniq("event_type").to_df()
 
 
 @query("SELECT row_number() OVER (ORDER BY c_mktsegment, c_custkey)-1 AS pos, c_mktsegment, c_custkey FROM customer")
 def sort_multi_key(s, d):
-    return Vector.from_df(read(s, d, "customer").select("c_mktsegment", "c_custkey"), "c_mktsegment", "c_custkey").to_df("pos")
+    return Vector.from_df(read(s, d, "customer").select("c_mktsegment", "c_custkey"), "c_custkey").sort("c_mktsegment", "c_custkey").to_df("pos")
 
 
 @query("SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey)-1 AS pos, index FROM (SELECT c_acctbal, c_custkey, row_number() OVER (ORDER BY c_custkey)-1 AS index FROM customer)")
@@ -274,12 +272,12 @@ def vec_concat(s, d):
     return (v + v).to_df()
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, unnest(range(0, CAST(l_linenumber AS BIGINT))) AS i FROM lineitem")
+@query(
+    "SELECT row_number() OVER (ORDER BY o_orderkey, i)-1 AS pos, i AS value FROM (SELECT o_orderkey, unnest(range(0, o_orderkey%4)) AS i FROM orders)"
+)
 def vec_concat_map(s, d):
-    # Without positions in the result, flat-mapping needs no order and no shuffle.
-    n = F.col("l_linenumber").cast("long")
-    rows = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return rows.filter(n > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("i"))
+    n = F.col("o_orderkey") % 4
+    return Vector.from_df(read(s, d, "orders").select("o_orderkey"), "o_orderkey").concat_map(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1))).to_df("pos")
 
 
 @query(
@@ -293,42 +291,38 @@ def vec_zip(s, d):
 
 @query("SELECT count(*) AS n, min(event_id) AS lo, max(event_id) AS hi, bool_and(value>=0) AS all_nonneg, bool_or(event_type='click') AS any_click FROM events")
 def vec_fold(s, d):
-    return read(s, d, "events").agg(
-        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"),
-        F.coalesce(F.bool_and(F.col("value") >= 0), F.lit(True)).alias("all_nonneg"), F.coalesce(F.bool_or(F.col("event_type") == "click"), F.lit(False)).alias("any_click"),
-    )
+    v = _events(s, d, "event_type", "value")
+    bounds = v.aggregate(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    return bounds.withColumns({"all_nonneg": F.lit(v.all(F.col("value") >= 0)), "any_click": F.lit(v.any(F.col("event_type") == "click"))})
 
 
 @query("SELECT row_number() OVER (ORDER BY event_id)-1 AS pos, event_type FROM events QUALIFY row_number() OVER (ORDER BY event_type DESC, event_id)=1")
 def vec_max_index(s, d):
-    return _events(s, d, "event_type").extreme(True, F.col("event_type")).select(F.col("_pos").alias("pos"), "event_type")
+    v = _events(s, d, "event_type")
+    at = v.max_index(F.col("event_type"))
+    return v.slice(at, 1).to_df().select(F.lit(at).cast("long").alias("pos"), "event_type")
 
 
 @query("SELECT row_number() OVER (ORDER BY event_id)-1 AS pos, event_type FROM events QUALIFY row_number() OVER (ORDER BY event_type, event_id)=1")
 def vec_min_index(s, d):
-    return _events(s, d, "event_type").extreme(False, F.col("event_type")).select(F.col("_pos").alias("pos"), "event_type")
-
+    v = _events(s, d, "event_type")
+    at = v.min_index(F.col("event_type"))
+    return v.slice(at, 1).to_df().select(F.lit(at).cast("long").alias("pos"), "event_type")
 
-def _scanned(v: Vector, op: str, out: str, reverse: bool = False, exclusive: bool = False, zero=None) -> DataFrame:
-    from .operators.positions import running
 
-    df = running(v._df, op, F.col("user_id"), out, reverse, exclusive)
-    return df.select("event_id", (F.coalesce(out, F.lit(zero)) if zero is not None else F.col(out)).cast("long").alias(out))
-
-
-@query("SELECT event_id, CAST(sum(user_id) OVER (ORDER BY event_id) AS BIGINT) AS s FROM events")
+@query("SELECT row_number() OVER (ORDER BY event_id)-1 AS pos, CAST(sum(user_id) OVER (ORDER BY event_id) AS BIGINT) AS s FROM events")
 def vec_postscanl(s, d):
-    return _scanned(_events(s, d, "user_id"), "sum", "s")
+    return _events(s, d, "user_id").postscanl("sum", F.col("user_id"), 0, "s").to_df("pos")
 
 
-@query("SELECT event_id, CAST(coalesce(sum(user_id) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS s FROM events")
+@query("SELECT row_number() OVER (ORDER BY event_id)-1 AS pos, CAST(coalesce(sum(user_id) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS s FROM events")
 def vec_prescanl(s, d):
-    return _scanned(_events(s, d, "user_id"), "sum", "s", exclusive=True, zero=0)
+    return _events(s, d, "user_id").prescanl("sum", F.col("user_id"), 0, "s").to_df("pos")
 
 
-@query("SELECT event_id, max(user_id) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM events")
+@query("SELECT row_number() OVER (ORDER BY event_id)-1 AS pos, max(user_id) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM events")
 def vec_scanr1(s, d):
-    return _scanned(_events(s, d, "user_id"), "max", "m", reverse=True)
+    return _events(s, d, "user_id").scanr1("max", F.col("user_id"), "m").to_df("pos")
 
 
 @query("SELECT n.n_nationkey, CAST(n.n_regionkey + coalesce(x.c,0) AS BIGINT) AS v FROM nation n LEFT JOIN (SELECT c_nationkey, count(*) c FROM customer GROUP BY 1) x ON n.n_nationkey=x.c_nationkey")
@@ -348,3 +342,6 @@ def vec_update(s, d):
 def building_customers_with_finished_orders(s, d):
     p = and_(val_eq("c_mktsegment", "BUILDING"), val_eq("o_orderstatus", "F"))
     return _orders_of_customers(s, d).restrict(p).project(["c_name"]).to_df()
+
+
+from . import vector_queries  # noqa: E402, F401  registers the queries of all vector operators
