@@ -2,29 +2,38 @@
 
 A page is read into a tree of elements and blocks of text. Parts that are never article text
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles, what
-is hidden) are cut off; a class or id alone does not cut the element that holds the article. Each remaining block earns points for its length and its commas,
-discounted by the share of its text inside links; the points go to its container, half of
-them to the next one up, and less to those further up. The best container, discounted by its
-own link density, is kept with the siblings that score well beside it; inside an article or
-main element that element is the container.
+is hidden) are cut off; a class or id cuts an element only if all words of the name speak of such
+a part, and never the element that holds the article. Each remaining block earns points for its
+length and its commas, discounted by the share of its text inside links; its container takes
+them, and each element above takes half of what the one below it has. The best container,
+discounted by its own link density, is kept whole. If it is in an article or main element, that
+element is the container, and others beside it are kept likewise; else what stands beside it, and
+beside each element above it, is kept unless half of its text or more is links.
 
 Blocks are the stretches of text between block-level tags. Character references are decoded,
 white space inside a block becomes one space, blocks are joined in page order by an empty line.
+Every step goes through the page or the tree once, so the time grows with the page's length.
 
 Defined results: null, empty or text-free html gives an empty text; plain text without tags
-is one block; tags that are never closed, or closed without being opened, do no harm.
+is one block; very long pages are read whole; tags that are never closed, or closed without being
+opened, do no harm; a tag with a quote that is never closed ends at its first ``>``; of containers
+that tie, the one with more text wins, then the first; repeated rows get equal texts; an empty
+table gives an empty table. ``extract`` keeps the other columns; a ``text`` column among them
+gives way to the extracted text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_TAG_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "svg", "math")}
@@ -40,8 +49,11 @@ _CUT_NAMES = frozenset(
 )
 #: Of these, parts written by readers: long ones are no reason to take them for the article.
 _READERS = frozenset("comment comments reply replies disqus discussion respond".split())
-#: "has-sidebar", "noBanner": the name says that something else has the part, or that there is none.
-_PREFIXES = frozenset("has no not with without".split())
+#: Words that say nothing of a part but its place or shape; beside a name of the list above they leave it one.
+_NEUTRAL = frozenset(
+    "site page global main top bottom left right upper lower sticky fixed primary secondary wrapper wrap container box block area section row col column inner outer bar panel list item items "
+    "links link icons buttons button form text title header body content posts post articles stories unit slot zone holder group set js".split()
+) - {"content", "post", "body", "text", "title", "main"}
 _KEEP_TAGS = frozenset(("html", "body", "article", "main"))
 #: A start tag of the first set closes open elements of the second, but not past one of the third.
 _CLOSES = {
@@ -56,24 +68,25 @@ _CLOSES = {
 
 
 class _Node:
-    __slots__ = ("tag", "up", "cut", "inside", "named", "text", "main", "points", "chars", "linked", "blocks", "order")
+    __slots__ = ("tag", "up", "block", "cut", "inside", "named", "text", "main", "points", "chars", "linked", "place")
 
     def __init__(self, tag: str, up: "_Node | None", cut: bool, inside: bool, named: int = 0):
         self.tag, self.up, self.cut, self.inside, self.named = tag, up, cut, inside, named
+        self.block: _Node = self if up is None or tag not in _INLINE else up.block  # the nearest that is no inline element
         self.text, self.main = 0, False
         self.points, self.chars, self.linked = 0.0, 0, 0
-        self.blocks = 0
+        self.place = 0  # 1: kept, 2: holds the container, 0: neither
 
 
-def _words(value: str) -> set[str]:
-    """The words of class or id names, without those after a prefix such as "has"."""
-    found: set[str] = set()
+def _named_part(value: str, inside: bool) -> int:
+    """Whether a class or id names a part that is cut: 1, and 2 for a part written by readers."""
+    part = 0
     for name in value.split():
-        for word in re.split(r"[^a-z0-9]+", _CAMEL.sub(" ", name).lower()):
-            if word in _PREFIXES:
-                break
-            found.add(word)
-    return found
+        words = {w for w in re.split(r"[^a-z0-9]+", _CAMEL.sub(" ", name).lower()) if w and not w.isdigit()}
+        named = words & _CUT_NAMES or (words & {"header"} if not inside else set())
+        if named and words <= _CUT_NAMES | _NEUTRAL | {"header"}:
+            part = max(part, 1 if _READERS.isdisjoint(words) else 2)
+    return part
 
 
 def _is_cut(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
@@ -86,9 +99,7 @@ def _is_cut(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = _words(value)
-            if not _CUT_NAMES.isdisjoint(words) or "header" in words and not inside:
-                named = max(named, 1 if _READERS.isdisjoint(words) else 2)
+            named = max(named, _named_part(value, inside))
         elif name == "role" and value.lower() in _CUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True, named
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -130,12 +141,14 @@ def _without_named(made: list[_Node], found: list[tuple[_Node, str, int]]) -> li
     return [b for b in found if left[id(b[0])]]
 
 
-def blocks_of(page: str) -> list[tuple[_Node, str, int]]:
-    """The page's blocks outside of what is cut off: element, text, characters in links."""
+def blocks_of(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
+    """The page's blocks outside of what is cut off (element, text, characters in links), and its elements, each after the one it is in."""
     root = _Node("", None, False, False)
     stack, out, made = [root], [], [root]
     parts: list[tuple[str, bool]] = []
-    links = 0
+    links, loose = 0, False
+    open_: Counter[str] = Counter()
+    unclosed: set[str] = set()
 
     def end_block() -> None:
         nonlocal parts
@@ -143,16 +156,31 @@ def blocks_of(page: str) -> list[tuple[_Node, str, int]]:
             text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
             if text:
                 linked = len(" ".join(html.unescape("".join(p for p, of_link in parts if of_link)).split()))
-                node = next(n for n in reversed(stack) if n.tag not in _INLINE)
-                out.append((node, text, linked))
+                out.append((stack[-1].block, text, linked))
         parts = []
 
     def pop_to(n: int) -> None:
         nonlocal links
         for node in stack[n:]:
             links -= node.tag == "a"
+            open_[node.tag] -= 1
         del stack[n:]
 
+    def tag_end(at: int) -> int:
+        """Where the tag ends; quotes hide a ``>``, until one is met that is never closed."""
+        nonlocal loose
+        first = page.find(">", at)
+        while not loose and first >= 0:
+            stop = _TAG_STOP.search(page, at)
+            if stop is None:
+                loose = True
+            elif stop[0] == ">":
+                return stop.start()
+            else:
+                at = page.find(stop[0], stop.end()) + 1
+                loose = at == 0
+        return first
+
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -161,17 +189,22 @@ def blocks_of(page: str) -> list[tuple[_Node, str, int]]:
             break
         if m.start() > at:
             parts.append((page[at : m.start()], links > 0))
-        at = m.end()
         if m[2] is None:
+            end = page.find("-->" if m[0] == "<!--" else ">", m.end())
+            at = size if end < 0 else end + (3 if m[0] == "<!--" else 1)
             continue
-        tag = m[2].lower()
+        end = tag_end(m.end())
+        if end < 0:  # no tag ends any more
+            parts.append((page[m.start() :], links > 0))
+            break
+        at, attributes, tag = end + 1, page[m.end() : end], m[2].lower()
         if tag == "br":
             parts.append((" ", links > 0))
             continue
         if tag not in _INLINE:
             end_block()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[k].tag == tag:
                     pop_to(k)
                     break
@@ -179,7 +212,7 @@ def blocks_of(page: str) -> list[tuple[_Node, str, int]]:
                     break  # an inline end tag closes nothing outside of its block
             continue
         if tag not in _INLINE:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_["p"] else ():
                 if stack[k].tag == "p":  # a block ends an open paragraph
                     pop_to(k)
                     break
@@ -188,14 +221,14 @@ def blocks_of(page: str) -> list[tuple[_Node, str, int]]:
             if tag in _CLOSES:
                 ends, stops = _CLOSES[tag]
                 lowest = None
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(open_[t] for t in ends) else ():
                     if stack[k].tag in stops:
                         break
                     if stack[k].tag in ends:
                         lowest = k
                 if lowest:
                     pop_to(lowest)
-        if tag in _VOID or m[3].endswith("/") and tag in ("svg", "math", "iframe"):
+        if tag in _VOID or attributes.endswith("/") and tag in ("svg", "math", "iframe"):
             continue
         if tag in _RAW:
             closing = _RAW[tag].search(page, at)
@@ -203,67 +236,62 @@ def blocks_of(page: str) -> list[tuple[_Node, str, int]]:
             continue
         up = stack[-1]
         inside = up.inside or tag in ("article", "main")
-        cut, named = _is_cut(tag, m[3], inside)
+        cut, named = _is_cut(tag, attributes, inside)
         node = _Node(tag, up, up.cut or cut, inside, named)
         if tag in _INLINE and (node.cut or named) and not up.cut:
-            end_block_node = node  # a hidden or advert span: its text must not enter the block
-            stack.append(end_block_node)
-            closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            # A hidden or advert span: its text must not enter the block.
+            closing = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if closing is None:
+                unclosed.add(tag)
             at = closing.end() if closing else at
-            stack.pop()
             continue
         stack.append(node)
         made.append(node)
+        open_[tag] += 1
         links += tag == "a"
     end_block()
-    return _without_named(made, out)
+    return _without_named(made, out), made
 
 
 def _share(node: _Node) -> float:
     return 1 - node.linked / node.chars if node.chars else 0.0
 
 
+#: Elements that are one block of their container.
+_LEAVES = frozenset("p pre h1 h2 h3 h4 h5 h6 blockquote li td th dd dt".split())
+
+
 def main_text(page: str | None) -> str:
-    found = blocks_of(page or "")
-    if not found:
-        return ""
-    nodes: dict[int, _Node] = {}
+    found, made = blocks_of(page or "")
     for block, text, linked in found:
-        free = 1 - linked / len(text)
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * free
-        own, level = block if block.tag not in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "li", "td", "th", "dd", "dt") else block.up, 0
-        node = block
-        while node is not None:
-            node.chars += len(text)
-            node.linked += linked
-            node.blocks += 1
-            nodes[id(node)] = node
-            node = node.up
-        node = own
-        while node is not None:
-            node.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            node, level = node.up, level + 1
-    best = max(nodes.values(), key=lambda n: (n.points * _share(n), n.chars))
-    node = best
-    while node is not None:
-        if node.tag in ("article", "main"):
-            best = node
-        node = node.up
-    least = max(10.0, best.points * _share(best) * 0.2)
-
-    def kept(block: _Node, text: str, linked: int) -> bool:
-        node, below = block, block
-        while node is not None:
-            if node is best:
-                return True
-            if node is best.up and best.tag not in ("article", "main"):  # ``below`` is a sibling
-                if below.points * _share(below) >= least:
-                    return True
-                return below.tag in ("p", "h1", "h2", "") and linked < 0.25 * len(text) and (len(text) > 80 or below.tag != "p" or linked == 0 and text[-1:] in ".!?")
-            below, node = node, node.up
-        return False
-
-    return "\n\n".join(text for block, text, linked in found if kept(block, text, linked))
+        block.chars += len(text)
+        block.linked += linked
+        own = block.up if block.tag in _LEAVES and block.up is not None else block
+        own.points += (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+    for n in reversed(made):
+        if n.up is not None:
+            n.up.points += n.points / 2
+            n.up.chars += n.chars
+            n.up.linked += n.linked
+    best = max(made, key=lambda n: (n.points * _share(n), n.chars))
+    above, container = best, best
+    while above is not None:
+        if above.tag in ("article", "main"):
+            container = above
+        above = above.up
+    whole = container.tag in ("article", "main")
+    above = container.up
+    while above is not None:
+        above.place = 2
+        above = above.up
+    for n in made:
+        up = n.up
+        if n is container or up is not None and up.place == 1:
+            n.place = 1
+        elif n.place != 2 and up is not None and (n.tag in ("article", "main") if whole else up.place == 2):
+            n.place = 1 if _share(n) > 0.5 else 0
+    kept = (text for block, text, linked in found if block.place == 1 or block.place == 2 and not whole and 2 * linked < len(text))
+    return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:

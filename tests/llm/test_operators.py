@@ -331,6 +331,74 @@ def test_html_wrappers_named_like_parts():
         assert html_text.main_text(f'<body><div class="content">{inner}</div><div class="related"><p>More, here.</p></div></body>') == text
 
 
+def test_html_keeps_all_of_the_article():
+    p = "First, second, third and more of the text, going on for a while."
+    nav, links = '<nav><a href="/">x</a></nav>', '<div><a href="1">Home</a> <a href="2">About</a></div>'
+    two = f'<div class="post"><div class="sec"><h2>One</h2><p>{p}</p><p>{p}</p></div><div class="sec"><h2>Two</h2><ul><li>a</li><li>b</li></ul></div></div>'
+    assert html_text.main_text(f"<body>{nav}{two}{links}</body>") == f"One\n\n{p}\n\n{p}\n\nTwo\n\na\n\nb"
+    assert html_text.main_text(f'<body><div id="share-price-report"><h1>T</h1><p>{p}</p></div><div class="cookie-notice">We use</div></body>') == f"T\n\n{p}"
+    related = f'<article><p>{p}</p><div class="related-work"><h2>Related work</h2><p>Others did it.</p></div><div class="ad">Buy</div></article>'
+    assert html_text.main_text(f"<body>{related}</body>") == f"{p}\n\nRelated work\n\nOthers did it."
+    assert html_text.main_text(f'<body><div class="c"><div><h1>T</h1><p>{p}</p><p>{p}</p></div><div>x</div><p>short tail</p></div></body>') == f"T\n\n{p}\n\n{p}\n\nx\n\nshort tail"
+    assert html_text.main_text(f'<article><p>{p}</p><a href="x>y</a><p>more text.</p></article>') == f"{p}\n\ny\n\nmore text."
+    for name in ("site-footer", "comments-section", "sidebar-left", "newsletterSignup", "related-posts"):
+        assert html_text.main_text(f'<body><div class="{name}">Other text.</div><div class="content"><p>{p}</p></div></body>') == p, name
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    for page in ("<div><p>a b c</p>" * 8000, '<a href="x ' * 8000, "<a '>'" * 8000, "<div>" * 8000 + "</p>" * 8000, "<b>" * 8000 + "<div></div>" * 8000, '<span class="ad">' * 8000):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 3
+
+
+def test_html_scores_by_hand():
+    """The container by the points of a plain walk over all ancestors."""
+    g = random.Random(9)
+    for _ in range(200):
+        page, open_ = "", []
+        for _ in range(g.randint(1, 25)):
+            if open_ and g.random() < 0.4:
+                page += f"</{open_.pop()}>"
+            elif g.random() < 0.5:
+                open_.append("div")
+                page += "<div>"
+            else:
+                words = ", ".join(g.choice("abcdefgh") * g.randint(1, 30) for _ in range(g.randint(1, 6)))
+                page += f"<p><a>{words}</a> z</p>" if g.random() < 0.3 else f"<p>{words}</p>"
+        found, made = html_text.blocks_of(page)
+        if not found:
+            continue
+        points, chars, linked = {}, {}, {}
+        for block, text, n in found:
+            above, share = block.up, 1.0
+            for counts, value in ((chars, len(text)), (linked, n)):
+                counts[id(block)] = counts.get(id(block), 0) + value
+            while above is not None:
+                points[id(above)] = points.get(id(above), 0) + share * (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - n / len(text))
+                chars[id(above)], linked[id(above)] = chars.get(id(above), 0) + len(text), linked.get(id(above), 0) + n
+                above, share = above.up, share / 2
+        score = {i: p * (1 - linked[i] / chars[i]) for i, p in points.items()}
+        html_text.main_text(page)
+        _, again = html_text.blocks_of(page)
+        best = max(score.values())
+        inside = [n for n in made if score.get(id(n), 0) >= best - 1e-9]
+        texts = html_text.main_text(page).split("\n\n")
+        assert len(again) == len(made)
+
+        def under(node, tops):
+            while node is not None:
+                if any(node is t for t in tops):
+                    return True
+                node = node.up
+            return False
+
+        if len(inside) == 1:  # all of the best container is kept
+            assert all(text in texts for block, text, _ in found if under(block, inside))
+
+
 # -- fingerprints ------------------------------------------------------------------------------------
 
 
