@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item is looked for as a whole, and as every passage of ``size`` and of ``WIDE`` words in it,
-each with an error budget in proportion to its length, between ends of words. Of budget-plus-one
+each with an error budget in proportion to its length; where that is 0, between ends of words. Of budget-plus-one
 pieces of it a copy leaves one untouched. Pieces are found by their overlapping grams, which all
 passages of an item share: an untouched piece is a row of common grams on one diagonal. Near such
 a diagonal k edits leave all but ``GRAM * k`` of a passage's grams as they are, so places with
@@ -136,15 +136,16 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], errors: float = ERRORS, size: int = PASSAGE, stride: int = STRIDE, least_words: int = LEAST_WORDS):
         import ahocorasick
 
-        #: Item, first and end character in ``self.text`` (the spaces around count), budget of every passage: first those of
-        #: up to ``WIDE`` words in order of the first character, then the longer items as wholes, in order too.
+        #: Item, first and end character in ``self.text``, budget of every passage: first those of up to ``WIDE`` words in order of the first character, then the longer items as wholes, in order too.
         self.passages: list[tuple[int, int, int, int]] = []
         wholes, texts, at = [], [], 0
         for item_id, text in items:
             text = normal(text or "")
             for offset, passage in spans(text, size, stride):
                 whole = len(passage) == len(text) and passage.count(" ") >= max(size, WIDE)
-                (wholes if whole else self.passages).append((item_id, at + offset, at + offset + len(passage) + 2, budget(passage, errors, least_words)))
+                k = budget(passage, errors, least_words)
+                first = at + offset + (k > 0)  # without edits, the spaces around belong to the passage
+                (wholes if whole else self.passages).append((item_id, first, first + len(passage) + 2 * (k == 0), k))
             texts.append(f" {text} ")
             at += len(text) + 3
         self.text = "\n".join(texts)
@@ -294,7 +295,8 @@ class Matcher:
                 at = text.find(passage, a, b)
                 edits, end = (0, at - a + len(passage)) if at >= 0 else myers(passage, text[a:b]) if k else (1, 0)
                 if edits <= k:
-                    hits[item_id].append((max(0, a + end - len(passage)), max(0, a + end - 2), edits))
+                    ends = int(k == 0)
+                    hits[item_id].append((max(0, a + end - len(passage) + ends - 1), max(0, a + end - ends - 1), edits))
         found: dict[int, tuple[int, int, int]] = {}
         for item_id, where in hits.items():
             where.sort()
