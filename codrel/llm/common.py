@@ -36,6 +36,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_in_buckets(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """The same, dealt into as many buckets as the session has shuffle partitions by the hash of ``keys``: joins on all of them do not shuffle it again.
+
+    The catalogue forgets the table as soon as it is read; the files stay as those of ``written`` do.
+    """
+    spark = df.sparkSession
+    known = f"codrel_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(shuffle_partitions(spark), *keys).option("path", new_path(spark, name)).saveAsTable(known)
+    out = spark.table(known)
+    spark.sql(f"DROP TABLE {known}")
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

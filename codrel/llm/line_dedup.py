@@ -6,30 +6,32 @@ smaller line number. Lines below ``least_chars`` characters (white space at the
 counted) are too short for the edit join; they are removed only as repeats of equal lines, and
 only from ``least_equal`` characters on (None: ``least_chars``), blank ones never.
 
-Equal lines collapse to their first occurrence. Distinct lines are then cut into
-``max_edits + 1`` segments; of two lines within the bound, one segment of the shorter stands
-unchanged in the longer, shifted by no more than the edits before and after it allow. So
-each line is indexed under its segments and probes the few substrings that lengths up to
-``max_edits`` smaller admit; index and probes meet in an equi-join. Pairs are verified with
-bit-parallel edit distance inside a diagonal band of ``2 * max_edits + 1`` bits, between the
-lines' common ends.
-
-Defined results: null and empty texts have no lines to remove; a null id counts as the
-smallest; rows that repeat an id and a text are one document and do not remove each other's
-lines; rows that repeat only the id are ordered by the hash of their text. Extra columns are
-ignored (``removed``) or kept (``apply``).
+Equal lines collapse to their first occurrence: the texts of lines are shuffled here and lie in
+buckets from then on. Distinct lines are cut into ``max_edits + 1`` segments; of two lines
+within the bound, one segment of the shorter stands unchanged in the longer, shifted by no more
+than the edits before and after it allow. So each line is indexed under its segments and probes
+the few substrings that lengths up to ``max_edits`` smaller admit; index and probes meet in an
+equi-join of key and line number (both 48 bits of hash: what meets by chance is verified like
+the rest). Only the lines of such pairs get their texts again. Pairs are verified with bit-parallel
+edit distance inside a diagonal band of ``2 * max_edits + 1`` bits, between the lines' common ends.
+
+Defined results: null and empty texts have no lines to remove; very long texts and lines take
+part in full; of equal lines the first stays, and of lines that are near each other and tie in
+document and number none can; a null id counts as the smallest; rows that repeat an id and a text
+are one document and do not remove each other's lines; rows that repeat only the id are ordered by
+the hash of their text; an empty table gives an empty table. Spaces, tabs and carriage returns at
+a line's ends do not count. Extra columns, whatever their names, are ignored (``report``,
+``removed``) or kept (``apply``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_least, shown_id, text_or_empty, written
+from .common import id_or_least, shown_id, text_or_empty, written, written_in_buckets
 
 MAX_EDITS, LEAST_CHARS = 2, 20
-#: Lines to verify up to which their keys are broadcast (about 40 bytes each); beyond it the texts are shuffled to them.
-BROADCAST_ROWS = 200_000
 _AT = ("doc_id", "text_hash", "line_no")
 
 
@@ -42,18 +44,27 @@ def lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_equal: int | No
     source = docs.select(
         id_or_least().alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line")
     )
-    trimmed = source.withColumn("line", F.trim("line"))
+    trimmed = source.withColumn("line", F.btrim("line", F.lit(" \t\r")))
     equal = F.lit(False) if least_equal is None else (F.char_length("line") >= least_equal) & F.col("line").rlike(r"\S")
     return trimmed.filter((F.char_length("line") >= least_chars) | equal)
 
 
+def _hashes(line: Column) -> dict[str, Column]:
+    return {"h1": F.xxhash64(line), "h2": F.xxhash64(F.lit(7), line)}
+
+
 def distinct_lines(all_lines: DataFrame) -> DataFrame:
     """Each line once, with 128 bits of hash and the place of its first occurrence."""
-    hashed = all_lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
+    hashed = all_lines.withColumns(_hashes(F.col("line")))
     first = F.min(F.struct(*_AT)).alias("first")
     return hashed.groupBy("h1", "h2").agg(first, F.any_value("line").alias("line")).select("h1", "h2", "first.*", "line")
 
 
+def _number(h1: Column) -> Column:
+    """A line's number in the join: 48 bits of its hash."""
+    return F.shiftrightunsigned(h1, 16)
+
+
 def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     """Start (from 0) and length of segment i of k + 1 near-equal ones."""
     part = lambda j: F.floor((length + j) / (k + 1)).cast("int")
@@ -66,7 +77,7 @@ def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
 def _key(line: Column, length: Column, i: int, shift: int, k: int) -> Column:
     """Hash of what stands where segment i of a line of ``length`` would stand, shifted."""
     start, size = _segment(length, i, k)
-    return F.xxhash64(F.lit(i), length, F.substring(line, start + (shift + 1), size))
+    return F.shiftrightunsigned(F.xxhash64(F.lit(i), length, F.substring(line, start + (shift + 1), size)), 16)
 
 
 def index_keys(line: Column, k: int) -> Column:
@@ -85,14 +96,11 @@ def probe_keys(line: Column, k: int) -> Column:
 
 
 def candidates(distinct: DataFrame, k: int) -> DataFrame:
-    """Pairs of places of different lines that share a key: l_* the later, e_* the earlier."""
-    own = [F.col(c) for c in _AT]
-    indexed = distinct.select(F.struct(*own).alias("a"), F.explode(index_keys(F.col("line"), k)).alias("key"))
-    probing = distinct.select(F.struct(*own).alias("b"), F.explode(probe_keys(F.col("line"), k)).alias("key"))
-    met = probing.join(indexed, "key").filter(F.col("a") != F.col("b"))
-    pair = met.select(F.greatest("a", "b").alias("later"), F.least("a", "b").alias("earlier"))
-    flat = pair.select(*(F.col(f"later.{c}").alias(f"l_{c}") for c in _AT), *(F.col(f"earlier.{c}").alias(f"e_{c}") for c in _AT))
-    return flat.distinct()
+    """Numbers a < b of different lines that share a key."""
+    indexed = distinct.select(_number(F.col("h1")).alias("i"), F.explode(index_keys(F.col("line"), k)).alias("key"))
+    probing = distinct.select(_number(F.col("h1")).alias("p"), F.explode(probe_keys(F.col("line"), k)).alias("key"))
+    met = probing.join(indexed, "key").filter(F.col("i") != F.col("p"))
+    return met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
 
 
 def _common(a: Column, b: Column, of) -> Column:
@@ -157,30 +165,31 @@ def _banded(long: Column, short: Column, k: int) -> Column:
     return let(F.struct(letters(long).alias("x"), letters(short).alias("y")), run)
 
 
-def near(distinct: DataFrame, k: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Places of distinct lines that have an earlier line within k edits."""
+def near(distinct: DataFrame, k: int) -> DataFrame:
+    """h1, h2 of the lines that have an earlier line within k edits. ``distinct`` lies in buckets of both hashes."""
     pairs = written(candidates(distinct, k), "line-pairs")
-    small = pairs.limit(broadcast_rows + 1).count() <= broadcast_rows
-    sized = F.broadcast if small else lambda df: df
-    ends = [pairs.select(*(F.col(f"{p}_{c}").alias(c) for c in _AT)) for p in "le"]
-    wanted = ends[0].union(ends[1]).distinct()
-    texts = distinct.select(*_AT, "line").join(sized(wanted), list(_AT), "left_semi")
-    joined = pairs
-    for p in "le":
-        joined = joined.join(texts.select(*(F.col(c).alias(f"{p}_{c}") for c in _AT), F.col("line").alias(f"{p}_line")), [f"{p}_{c}" for c in _AT])
-    return joined.filter(edit_distance(F.col("l_line"), F.col("e_line"), k) <= k).select(*(F.col(f"l_{c}").alias(c) for c in _AT)).distinct()
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "number")
+    # From numbers to hashes without the texts, then to the texts where they lie.
+    hashes = distinct.select("h1", "h2", _number(F.col("h1")).alias("number")).join(wanted, "number")
+    texts = written(distinct.join(hashes.hint("shuffle_hash"), ["h1", "h2"]), "line-texts")
+    side = lambda p: texts.select(F.col("number").alias(p), F.struct(*_AT).alias(f"{p}_at"), F.col("line").alias(f"{p}_line"), F.struct("h1", "h2").alias(f"{p}_h"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    close = both.filter(edit_distance(F.col("a_line"), F.col("b_line"), k) <= k)
+    return close.select(F.when(F.col("a_at") > F.col("b_at"), F.col("a_h")).otherwise(F.col("b_h")).alias("h")).select("h.*").distinct()
 
 
 def removed(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS, least_equal: int | None = None) -> DataFrame:
     """doc_id (the smallest long for null), text_hash and the ascending numbers of the lines to remove, for documents that have any."""
     found = lines(docs, least_chars, least_equal)
-    distinct = written(distinct_lines(found), "lines")
-    later = near(distinct.filter(F.char_length("line") >= least_chars), max_edits).withColumn("near", F.lit(True)) if max_edits else None
-    first = distinct.select("h1", "h2", *_AT)
-    first = first.join(later, list(_AT), "left") if later is not None else first.withColumn("near", F.lit(False))
-    first = first.select("h1", "h2", F.struct(*_AT).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    places = found.select(*_AT, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
-    gone = places.join(first, ["h1", "h2"]).filter(F.col("near") | (F.struct(*_AT) != F.col("first")))
+    distinct = written_in_buckets(distinct_lines(found), "lines", "h1", "h2")
+    first = distinct.select("h1", "h2", F.struct(*_AT).alias("first"))
+    if max_edits:
+        later = near(distinct.filter(F.char_length("line") >= least_chars), max_edits).withColumn("near", F.lit(True))
+        first = first.join(later, ["h1", "h2"], "left")
+    else:
+        first = first.withColumn("near", F.lit(None).cast("boolean"))
+    places = found.select(*_AT, *(c.alias(n) for n, c in _hashes(F.col("line")).items()))
+    gone = places.join(first, ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.struct(*_AT) != F.col("first")))
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 

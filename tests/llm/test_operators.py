@@ -259,9 +259,7 @@ def test_banded_edit_distance(spark):
             assert r.d == true if true <= k else r.d > k
 
 
-@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
-def test_line_dedup(spark, none, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(line_dedup.near, "__defaults__", (broadcast_rows,))
+def test_line_dedup(spark, none):
     g = random.Random(9)
     base = ["".join(g.choice("abcd ") for _ in range(g.randint(18, 32))) for _ in range(15)]
     rows = [(i, "\n".join(changed(g, g.choice(base), g.choice([0, 0, 1, 2, 3])) for _ in range(g.randint(0, 4)))) for i in range(40)]
@@ -460,6 +458,10 @@ def test_myers():
         assert best == min(d) and (best == len(p) or d[end] == best)
 
 
+def place_of(p: str, text: str, k: int) -> bool:
+    return decontamination.myers(p, text)[0] <= k if k else f" {p} " in f" {text} "
+
+
 @pytest.mark.parametrize("block_chars", [4_000_000, 200])
 def test_decontamination(spark, none, block_chars):
     g = random.Random(6)
@@ -485,7 +487,7 @@ def test_decontamination(spark, none, block_chars):
     for d, t in rows:
         text = decontamination.normal(t or "")
         for i, item in items:
-            if i is not None and any(decontamination.myers(f" {p} ", f" {text} ")[0] <= decontamination.budget(p) for p in decontamination.passages(item or "")):
+            if i is not None and any(place_of(p, text, decontamination.budget(p)) for p in decontamination.passages(item or "")):
                 brute.add((d, i))
     assert set(pairs) == brute and expected <= brute
     assert sorted(r.doc_id for r in decontamination.clean(df, bench).filter("doc_id is not null").collect()) == sorted(d for d, _ in rows if d is not None and d not in {x for x, _ in brute})
@@ -512,7 +514,7 @@ def test_decontamination_finds_every_window():
         for j, other in items:
             w = decontamination.normal(other).split()
             windows = {" ".join(w[a : a + n]) for n in (13, 20) for a in range(max(1, len(w) - n + 1))} | {" ".join(w)}
-            if any(decontamination.myers(f" {p} ", f" {text} ")[0] <= (len(p) // 12 if p.count(" ") >= 5 else 0) for p in windows):
+            if any(place_of(p, text, len(p) // 12 if p.count(" ") >= 5 else 0) for p in windows):
                 brute.add(j)
         assert set(matcher.matches(text)) == brute
         seen += len(brute)
