@@ -4,9 +4,11 @@ A document's set is its distinct word n-grams, as 64-bit hashes in ascending ord
 documents link when 100 * intersection >= percent * union. Links are found exactly:
 
 1. Equal sets collapse to one class, whose node is its smallest document.
-2. Sets that link share at least l of the first (size - least overlap + l) hashes of each.
-   Those are the rows of an index. A document too few of whose rows occur anywhere else
-   links with nothing and leaves; in most corpora that is nearly every document.
+2. Sets that link share at least l of the first (size - least overlap + l) hashes of each;
+   l is a quarter of the hashes that a linked set may lack. Those are the rows of an index. A
+   document too few of whose rows occur anywhere else links with nothing and leaves; in most
+   corpora that is nearly every document. The texts of the rest are put into buckets once, and
+   a verification moves only one of the two texts of a pair.
 3. Stars: every remaining node is verified against the smallest node that shares most of
    its rows, and then, under another order of nodes, again. Groups of near copies, however
    large, become components here at one or two verifications a node.
@@ -21,8 +23,11 @@ A row that very many nodes share is searched only for nodes that hold at least l
 any other linked pair shares a rarer row as well. Nothing is capped.
 
 Defined results: null, empty and blank texts have empty sets and link with nothing; fewer
-words than n make one n-gram of all of them; a null id counts as the smallest and is shown
-as null; rows that repeat an id are separate documents. Extra columns are ignored.
+words than n make one n-gram of all of them; very long texts take part whole, with bitmaps of a
+sample of their hashes; a null id counts as the smallest and is shown as null; rows that repeat
+an id are separate documents; of a component's documents the smallest id names it, and where
+texts share that id the hash of the text decides which of them ``one_of_each`` keeps; an empty
+table gives an empty table. Extra columns are ignored by ``join`` and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_least, shown_id, text_or_empty, written
+from .common import id_or_least, shown_id, text_or_empty, written, written_in_buckets
 from .components import components
 
 WORDS, PERCENT = 3, 90
@@ -77,11 +82,11 @@ def _spare(n: Column, percent: int) -> Column:
 
 def _shared_rows(n: Column, percent: int) -> Column:
     """l: the index rows that two linked sets share, by the smaller one's size."""
-    return _spare(n, percent) + 1
+    return F.floor(_spare(n, percent) / 4) + 1
 
 
 def documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Written: doc_id, d (hash of the text), n, d1, d2 (128 bits of hash of the set) and rows, the first tokens that go into the index."""
+    """Written: doc_id, text_hash (Spark's), d (hash of the text), n, d1, d2 (128 bits of hash of the set) and rows, the first tokens that go into the index."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as digest
@@ -92,18 +97,20 @@ def documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 tokens = token_set(text, words)
                 n, raw = len(tokens), tokens.tobytes()
                 spare = n + -n * percent // 100
-                for column, value in zip(out, (n, digest(raw), digest(raw, 7), tokens[: 2 * spare + 1], digest(text.encode("utf-8", "surrogatepass"))), strict=True):
+                for column, value in zip(out, (n, digest(raw), digest(raw, 7), tokens[: spare + spare // 4 + 1], digest(text.encode("utf-8", "surrogatepass"))), strict=True):
                     column.append(value)
             n, d1, d2, rows, d = out
             whole = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (d, d1, d2)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), whole[0], pa.array(n, pa.int64()), *whole[1:], pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "d", "n", "d1", "d2", "rows"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), whole[0], pa.array(n, pa.int64()), *whole[1:], pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "text_hash", "d", "n", "d1", "d2", "rows"]
+            )
 
-    source = docs.select(id_or_least().alias("doc_id"), text_or_empty().alias("text"))
-    return written(source.mapInArrow(made, "doc_id long, d long, n long, d1 long, d2 long, rows array<long>"), "sets")
+    source = docs.select(id_or_least().alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+    return written(source.mapInArrow(made, "doc_id long, text_hash long, d long, n long, d1 long, d2 long, rows array<long>"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link."""
+    """The pairs (a, b) of nodes whose sets link. ``sets`` lies in buckets of id and d, so the texts of a stay where they are until they meet those of b."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,10 +118,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> Da
             ok = pa.array([links(s, t, words, percent) for s, t in zip(x, y, strict=True)], pa.bool_())
             yield batch.select(["a_id", "a_d", "b_id", "b_d"]).filter(ok)
 
-    side = lambda p: sets.select(F.col("node").alias(p), F.col("text").alias(f"{p}_text"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    flat = both.select(*(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in ("id", "d")), "a_text", "b_text")
-    return flat.mapInArrow(check, "a_id long, a_d long, b_id long, b_d long").select(_node("a"), _node("b"))
+    flat = pairs.select(*(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in ("id", "d")))
+    named = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "d", "text")))
+    ends = flat.select(F.col("b_id").alias("id"), F.col("b_d").alias("d")).distinct()
+    both = flat.join(named(sets, "a"), ["a_id", "a_d"]).join(named(sets.join(ends, ["id", "d"], "left_semi"), "b"), ["b_id", "b_d"])
+    return both.select("a_id", "a_d", "b_id", "b_d", "a_text", "b_text").mapInArrow(check, "a_id long, a_d long, b_id long, b_d long").select(_node("a"), _node("b"))
 
 
 def _node(p: str) -> Column:
@@ -290,7 +298,7 @@ def _signed(words: int, percent: int):
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """node, text of the nodes in ``ids`` (id, d)."""
+    """id, d, text of the nodes in ``ids`` (id, d), in buckets."""
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as digest
@@ -300,11 +308,11 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(d == batch.column("d").to_numpy()))
 
     source = docs.select(id_or_least().alias("id"), text_or_empty().alias("text")).join(ids, "id").select("id", "d", "text")
-    return source.mapInArrow(same, "id long, d long, text string").select(F.struct("id", "d").alias("node"), "text")
+    return written_in_buckets(source.mapInArrow(same, "id long, d long, text string").dropDuplicates(["id", "d"]), "texts", "id", "d")
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id (the smallest long for null), text_hash, d, n and component, the node that names the component (null without n-grams)."""
     base = documents(docs, words, percent)
     full = base.filter(F.col("n") > 0)
     classes = written(full.groupBy("n", "d1", "d2").agg(F.min(F.struct(F.col("doc_id").alias("id"), "d")).alias("node")), "classes")
@@ -317,7 +325,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     nodes = written(counted.filter(F.col("rows") >= least).select("node", "n", (F.col("frequent") >= least).alias("all_rows")), "nodes")
     ids = nodes.select(F.col("node.id").alias("id"), F.col("node.d").alias("d"))
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sets = written(_texts(docs, F.broadcast(ids) if small else ids).dropDuplicates(["node"]), "texts")
+    sets = _texts(docs, F.broadcast(ids) if small else ids)
     kept = written(live.join(nodes.select("node", "all_rows"), "node"), "kept-rows")
 
     def star(hubs: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -342,9 +350,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     open_rows = kept.filter((F.col("df") <= BLOCK) | F.col("all_rows")).select("node", "token").join(own, "node")
     mixed = open_rows.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") != F.col("hi"))
     todo = written(open_rows.join(mixed.select("token", "m"), "token"), "open-rows")
-    needed = todo.select("node").distinct()
-    with_texts = sets.join(needed, "node", "left_semi").select(F.col("node.id").alias("id"), F.col("node.d").alias("d"), "text")
-    signed = with_texts.mapInPandas(_signed(words, percent), "id long, d long, own binary, next binary")
+    needed = todo.select(F.col("node.id").alias("id"), F.col("node.d").alias("d")).distinct()
+    signed = sets.join(needed, ["id", "d"], "left_semi").mapInPandas(_signed(words, percent), "id long, d long, own binary, next binary")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = todo.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK).cast("long")).cast("int")})
     # Block k meets every block: as the first of the pair those at or above it, as the second those below.
@@ -360,12 +367,21 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     if not rest.isEmpty():
         comps = components(found_links.union(rest))
 
-    named = classes.join(comps, "node", "left").select("n", "d1", "d2", F.coalesce(F.col("component.id"), F.col("node.id")).alias("component_id"))
-    out = base.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-    return out.select(shown_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown_id(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named = classes.join(comps, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"))
+    return base.select("doc_id", "text_hash", "d", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    out = _joined(docs, words, percent)
+    return out.select(shown_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown_id(F.coalesce("component.id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the smallest document of each component; rows that repeat an id and a text stay once."""
-    first = join(docs, words, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id", "text"])
+    out = _joined(docs, words, percent)
+    stays = F.col("component").isNull() | (F.col("doc_id") == F.col("component.id")) & (F.col("d") == F.col("component.d"))
+    first = out.filter(stays).select(F.col("doc_id").alias("_codrel_id"), F.col("text_hash").alias("_codrel_hash")).distinct()
+    keyed = docs.withColumns({"_codrel_id": id_or_least(), "_codrel_hash": F.xxhash64(text_or_empty())})
+    kept = keyed.join(first, ["_codrel_id", "_codrel_hash"], "left_semi").dropDuplicates(["_codrel_id", "_codrel_hash"])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -597,6 +597,16 @@ def _with(search, small):
     return made
 
 
+def test_one_of_each_tells_rows_of_an_id_apart(spark):
+    g = random.Random(12)
+    w, other = prose(g, 40), prose(g, 40)
+    rows = [(3, w, 1), (5, w, 2), (5, other, 3), (5, other, 3), (None, None, 4), (None, "", 5), (7, " ", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d int")
+    kept = jaccard_join.one_of_each(df, words=5, percent=80)
+    got = sorted(r.d for r in kept.collect())
+    assert kept.columns == df.columns and got in ([1, 3, 4, 6], [1, 3, 5, 6])  # a null and an empty text of one id are one
+
+
 def test_dual_traversal_finds_all():
     g = np.random.default_rng(1)
     pool = g.integers(-(2**62), 2**62, 400)
