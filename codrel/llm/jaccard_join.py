@@ -5,7 +5,7 @@ documents link when 100 * intersection >= percent * union. Links are found exact
 
 1. Equal sets collapse to one class, whose node is its smallest document.
 2. Sets that link share at least l of the first (size - least overlap + l) hashes of each;
-   l is a quarter of the hashes that a linked set may lack. Those are the rows of an index. A
+   l is one more than the hashes that a linked set may lack. Those are the rows of an index. A
    document too few of whose rows occur anywhere else links with nothing and leaves; in most
    corpora that is nearly every document. The texts of the rest are put into buckets once, and
    a verification moves only one of the two texts of a pair.
@@ -82,7 +82,7 @@ def _spare(n: Column, percent: int) -> Column:
 
 def _shared_rows(n: Column, percent: int) -> Column:
     """l: the index rows that two linked sets share, by the smaller one's size."""
-    return F.floor(_spare(n, percent) / 4) + 1
+    return _spare(n, percent) + 1
 
 
 def documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -97,7 +97,7 @@ def documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 tokens = token_set(text, words)
                 n, raw = len(tokens), tokens.tobytes()
                 spare = n + -n * percent // 100
-                for column, value in zip(out, (n, digest(raw), digest(raw, 7), tokens[: spare + spare // 4 + 1], digest(text.encode("utf-8", "surrogatepass"))), strict=True):
+                for column, value in zip(out, (n, digest(raw), digest(raw, 7), tokens[: 2 * spare + 1], digest(text.encode("utf-8", "surrogatepass"))), strict=True):
                     column.append(value)
             n, d1, d2, rows, d = out
             whole = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (d, d1, d2)]
