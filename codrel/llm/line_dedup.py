@@ -12,7 +12,11 @@ within the bound, one segment of the shorter stands unchanged in the longer, shi
 than the edits before and after it allow. So each line is indexed under its segments and probes
 the few substrings that lengths up to ``max_edits`` smaller admit; index and probes meet in an
 equi-join of key and line number (both 48 bits of hash: what meets by chance is verified like
-the rest). Only the lines of such pairs get their texts again. Pairs are verified with bit-parallel
+the rest). Under a key of more than ``COMMON`` lines, pairs are also held to a bound on letter pairs
+before the join makes a row: ``k`` edits change at most ``4 * k`` of a line's letter pairs, so they
+flip at most as many bits of their parities. Such a key's probes are dealt into blocks of lines; its
+pairs are all compared, but only those within the bound leave the join. Only the lines of pairs that
+are left get their texts again. Pairs are verified with bit-parallel
 edit distance inside a diagonal band of ``2 * max_edits + 1`` bits, between the lines' common ends.
 
 Defined results: null and empty texts have no lines to remove; very long texts and lines take
@@ -33,6 +37,12 @@ from .common import id_or_least, shown_id, text_or_empty, written, written_in_bu
 
 MAX_EDITS, LEAST_CHARS = 2, 20
 _AT = ("doc_id", "text_hash", "line_no")
+#: Lines under one key above which the bound on letter pairs is asked for, and lines that a block of its probes has on average.
+COMMON, BLOCK = 64, 4096
+#: Words of 64 parity bits a line.
+PARITIES = 8
+#: Common keys up to which their table is broadcast; above, it is joined by key, where both sides lie anyway.
+BROADCAST_ROWS = 500_000
 
 
 def let(value: Column, body) -> Column:
@@ -95,12 +105,43 @@ def probe_keys(line: Column, k: int) -> Column:
     return F.array(*keys)
 
 
+def parities(line: Column) -> Column:
+    """``PARITIES`` longs of bits: which letter pairs, dealt by hash, stand in the line an odd number of times."""
+
+    def words(hashes: Column) -> Column:
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
+        word = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(PARITIES - 1))
+        flip = lambda w: lambda s, x: s.bitwiseXOR(F.when(word(x) == w, bit(x)).otherwise(F.lit(0).cast("bigint")))
+        return F.array(*(F.aggregate(hashes, F.lit(0).cast("bigint"), flip(w)) for w in range(PARITIES)))
+
+    pairs = lambda t: F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda x, y: F.xxhash64(x, y))
+    return let(let(F.split(line, ""), pairs), words)
+
+
 def candidates(distinct: DataFrame, k: int) -> DataFrame:
-    """Numbers a < b of different lines that share a key."""
-    indexed = distinct.select(_number(F.col("h1")).alias("i"), F.explode(index_keys(F.col("line"), k)).alias("key"))
-    probing = distinct.select(_number(F.col("h1")).alias("p"), F.explode(probe_keys(F.col("line"), k)).alias("key"))
-    met = probing.join(indexed, "key").filter(F.col("i") != F.col("p"))
-    return met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
+    """Numbers a < b of different lines that share a key and, under common keys, may be within k edits by their letter pairs. ``distinct`` lies in buckets of both hashes."""
+    number = _number(F.col("h1"))
+    indexed = distinct.select(number.alias("i"), F.explode(index_keys(F.col("line"), k)).alias("key"))
+    probing = distinct.select(number.alias("p"), F.explode(probe_keys(F.col("line"), k)).alias("key"))
+    common = written(indexed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > COMMON), "common-keys")
+    n_common = common.limit(BROADCAST_ROWS + 1).count()
+    if n_common <= BROADCAST_ROWS:
+        common = F.broadcast(common)
+    ends = lambda met: met.filter(F.col("i") != F.col("p")).select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b"))
+    if not n_common:
+        return ends(probing.join(indexed, "key")).distinct()
+    rare = ends(probing.join(common, "key", "left_anti").join(indexed, "key"))
+    side = lambda df, end, probes: df.join(common, "key").select("key", "m", F.col(end).alias("number"), F.lit(probes).alias("probes"))
+    rows = written(side(probing, "p", True).union(side(indexed, "i", False)), "common-rows")
+    hashes = distinct.select("h1", "h2", number.alias("number")).join(rows.select("number").distinct(), "number")
+    signed = distinct.join(hashes.hint("shuffle_hash"), ["h1", "h2"]).select("number", parities(F.col("line")).alias("bits"))
+    signed = written(signed.select("number", *(F.get("bits", F.lit(w)).alias(f"s{w}") for w in range(PARITIES))), "letter-pairs")
+    blocks = F.ceil(F.col("m") / BLOCK)
+    of = lambda probes, end, block: rows.filter(F.col("probes") == probes).join(signed, "number").select("key", block.alias("block"), F.col("number").alias(end), *(F.col(f"s{w}").alias(f"{end}{w}") for w in range(PARITIES)))
+    left = of(True, "p", F.pmod(F.xxhash64("number"), blocks))
+    right = of(False, "i", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    flipped = sum((F.bit_count(F.col(f"p{w}").bitwiseXOR(F.col(f"i{w}"))) for w in range(PARITIES)), F.lit(0))
+    return rare.union(ends(left.join(right, ["key", "block"]).filter(flipped <= 4 * k))).distinct()
 
 
 def _common(a: Column, b: Column, of) -> Column:

@@ -284,6 +284,38 @@ def test_line_dedup(spark, none):
     assert line_dedup.report(none).count() == 0 and line_dedup.apply(none).columns == none.columns
 
 
+@pytest.mark.parametrize("block", [4096, 50])
+def test_lines_under_common_keys(spark, monkeypatch, block):
+    """A large group of lines that share segments, of which only some are within the bound."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    g = random.Random(4)
+    base = "".join(g.choice("abcdefghij ") for _ in range(70))
+    at = lambda: g.randint(3, 66)
+    texts = []
+    for _ in range(260):
+        p, put = at(), "".join(g.choice("klmnopqrstuvwxyzé𝄞") for _ in range(4))
+        texts.append(base[:p] + put + base[p:] if not texts or g.random() < 0.7 else changed(g, g.choice(texts), g.choice([1, 2, 2, 3])))
+    got = {r.doc_id: r.removed for r in line_dedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, line in enumerate(texts):
+        near = any(abs(len(line.strip()) - len(e.strip())) <= 2 and edits(line.strip(), e.strip()) <= 2 for e in texts[:i])
+        assert got[i] == ([0] if near else []), i
+    assert 0 < sum(map(len, got.values())) < 200
+
+
+def test_letter_pair_parities(spark):
+    """k edits flip at most 4k bits."""
+    g = random.Random(6)
+    rows = [("", "a"), ("a", "b")]
+    for n in (2, 5, 40, 300):
+        for e in (1, 2, 3):
+            x = "".join(g.choice("abcdé𝄞 ") for _ in range(n))
+            rows.append((x, changed(g, x, e)))
+    both = spark.createDataFrame(rows, "a string, b string").select("a", "b", line_dedup.parities(F.col("a")).alias("x"), line_dedup.parities(F.col("b")).alias("y"))
+    for r in both.collect():
+        flipped = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(r.x, r.y, strict=True))
+        assert flipped <= 4 * edits(r.a, r.b)
+
+
 def test_short_equal_lines(spark, tmp_path):
     from codrel.llm import queries
 
