@@ -38,7 +38,7 @@ from .common import id_or_least, shown_id, text_or_empty, written, written_in_bu
 MAX_EDITS, LEAST_CHARS = 2, 20
 _AT = ("doc_id", "text_hash", "line_no")
 #: Lines under one key above which the bound on letter pairs is asked for, and lines that a block of its probes has on average.
-COMMON, BLOCK = 64, 4096
+COMMON, BLOCK = 4, 4096
 #: Words of 64 parity bits a line.
 PARITIES = 8
 #: Common keys up to which their table is broadcast; above, it is joined by key, where both sides lie anyway.
