@@ -17,7 +17,8 @@ before the join makes a row: ``k`` edits change at most ``4 * k`` of a line's le
 flip at most as many bits of their parities. Such a key's probes are dealt into blocks of lines; its
 pairs are all compared, but only those within the bound leave the join. Only the lines of pairs that
 are left get their texts again. Pairs are verified with bit-parallel
-edit distance inside a diagonal band of ``2 * max_edits + 1`` bits, between the lines' common ends.
+edit distance inside a diagonal band of ``2 * max_edits + 1`` bits, between the lines' common ends;
+where much lies between them, its start is held to twice the edits first.
 
 Defined results: null and empty texts have no lines to remove; very long texts and lines take
 part in full; of equal lines the first stays, and of lines that are near each other and tie in
@@ -43,6 +44,8 @@ COMMON, BLOCK = 4, 4096
 PARITIES = 8
 #: Common keys up to which their table is broadcast; above, it is joined by key, where both sides lie anyway.
 BROADCAST_ROWS = 500_000
+#: Characters after the common start that are compared first: of texts within k edits, starts of equal length are within 2k.
+HEAD = 32
 
 
 def let(value: Column, body) -> Column:
@@ -164,7 +167,11 @@ def edit_distance(a: Column, b: Column, k: int) -> Column:
             u, v = F.substring(x, p + 1, F.char_length(x)), F.substring(y, p + 1, F.char_length(y))
             tail = lambda w: _common(w["u"], w["v"], lambda t, done, s: F.substring(t, F.char_length(t) - done - s + 1, s))
             cut = lambda w: let(tail(w), lambda q: F.struct(F.substring(w["u"], F.lit(1), F.char_length(w["u"]) - q).alias("u"), F.substring(w["v"], F.lit(1), F.char_length(w["v"]) - q).alias("v")))
-            return let(let(F.struct(u.alias("u"), v.alias("v")), cut), lambda w: _banded(w["u"], w["v"], k))
+            return let(let(F.struct(u.alias("u"), v.alias("v")), cut), middle)
+
+        def middle(w: Column) -> Column:
+            start = _banded(F.substring(w["u"], 1, HEAD), F.substring(w["v"], 1, HEAD), 2 * k)
+            return F.when((F.char_length(w["v"]) >= 2 * HEAD) & (start > 2 * k), F.lit(k + 1)).otherwise(_banded(w["u"], w["v"], k))
 
         return let(head, after)
 

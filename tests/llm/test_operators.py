@@ -259,6 +259,20 @@ def test_banded_edit_distance(spark):
             assert r.d == true if true <= k else r.d > k
 
 
+def test_edit_distance_of_long_texts(spark):
+    g = random.Random(12)
+    rows = []
+    for n in (64, 65, 90, 200):
+        for kind in range(12):
+            x = "".join(g.choice("abcdé𝄞 ") for _ in range(n))
+            y = changed(g, x, g.randint(0, 4)) if kind % 3 else x[kind:] + x[:kind]
+            rows += [("q" + x + "q", "z" + y + "w"), (x, y), ("a" + x, y + "b")]
+    for k in (1, 2, 3):
+        for r in spark.createDataFrame(rows, "a string, b string").select("a", "b", line_dedup.edit_distance(F.col("a"), F.col("b"), k).alias("d")).collect():
+            true = edits(r.a, r.b)
+            assert r.d == true if true <= k else r.d > k
+
+
 def test_line_dedup(spark, none):
     g = random.Random(9)
     base = ["".join(g.choice("abcd ") for _ in range(g.randint(18, 32))) for _ in range(15)]
