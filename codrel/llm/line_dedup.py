@@ -42,8 +42,6 @@ _AT = ("doc_id", "text_hash", "line_no")
 COMMON, BLOCK = 4, 4096
 #: Words of 64 parity bits a line.
 PARITIES = 8
-#: Common keys up to which their table is broadcast; above, it is joined by key, where both sides lie anyway.
-BROADCAST_ROWS = 500_000
 #: Characters after the common start that are compared first: of texts within k edits, starts of equal length are within 2k.
 HEAD = 32
 
@@ -123,26 +121,27 @@ def parities(line: Column) -> Column:
 
 def candidates(distinct: DataFrame, k: int) -> DataFrame:
     """Numbers a < b of different lines that share a key and, under common keys, may be within k edits by their letter pairs. ``distinct`` lies in buckets of both hashes."""
-    number = _number(F.col("h1"))
-    indexed = distinct.select(number.alias("i"), F.explode(index_keys(F.col("line"), k)).alias("key"))
-    probing = distinct.select(number.alias("p"), F.explode(probe_keys(F.col("line"), k)).alias("key"))
-    common = written(indexed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > COMMON), "common-keys")
-    n_common = common.limit(BROADCAST_ROWS + 1).count()
-    if n_common <= BROADCAST_ROWS:
-        common = F.broadcast(common)
+    number = F.coalesce(_number(F.col("h1")), F.lit(0).cast("bigint"))
+    # Both sides move by key once; all that follows reads those exchanges again, so each reader takes all columns and none adds a filter.
+    indexed = distinct.select(number.alias("i"), F.explode(index_keys(F.col("line"), k)).alias("key")).repartition("key")
+    probing = distinct.select(number.alias("p"), F.explode(probe_keys(F.col("line"), k)).alias("key")).repartition("key")
+    lines_of_key = F.count(F.when(F.col("i") >= 0, 1))
+    common = indexed.groupBy("key").agg(lines_of_key.alias("m")).filter(F.col("m") > COMMON).hint("shuffle_hash")
     ends = lambda met: met.filter(F.col("i") != F.col("p")).select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b"))
-    if not n_common:
-        return ends(probing.join(indexed, "key")).distinct()
-    rare = ends(probing.join(common, "key", "left_anti").join(indexed, "key"))
-    side = lambda df, end, probes: df.join(common, "key").select("key", "m", F.col(end).alias("number"), F.lit(probes).alias("probes"))
-    rows = written(side(probing, "p", True).union(side(indexed, "i", False)), "common-rows")
-    hashes = distinct.select("h1", "h2", number.alias("number")).join(rows.select("number").distinct(), "number")
-    signed = distinct.join(hashes.hint("shuffle_hash"), ["h1", "h2"]).select("number", parities(F.col("line")).alias("bits"))
-    signed = written(signed.select("number", *(F.get("bits", F.lit(w)).alias(f"s{w}") for w in range(PARITIES))), "letter-pairs")
+    # An anti join would be pushed below the exchange.
+    rare = ends(probing.join(common, "key", "left").filter(F.col("m").isNull()).join(indexed, "key"))
+    rows = {end: df.join(common, "key").select("key", "m", F.col(end).alias("number")) for end, df in (("p", probing), ("i", indexed))}
+    numbers = rows["p"].select("number").union(rows["i"].select("number")).distinct()
+    hashes = distinct.select("h1", "h2", number.alias("number")).join(numbers, "number")
+    signed = distinct.join(hashes.hint("shuffle_hash"), ["h1", "h2"]).select("number", parities(F.col("line")).alias("bits")).repartition("number")
     blocks = F.ceil(F.col("m") / BLOCK)
-    of = lambda probes, end, block: rows.filter(F.col("probes") == probes).join(signed, "number").select("key", block.alias("block"), F.col("number").alias(end), *(F.col(f"s{w}").alias(f"{end}{w}") for w in range(PARITIES)))
-    left = of(True, "p", F.pmod(F.xxhash64("number"), blocks))
-    right = of(False, "i", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+
+    def of(end: str, block: Column) -> DataFrame:
+        words = (F.get("bits", F.lit(w)).alias(f"{end}{w}") for w in range(PARITIES))
+        return rows[end].join(signed, "number").select("key", block.alias("block"), F.col("number").alias(end), *words)
+
+    left = of("p", F.pmod(F.xxhash64("number"), blocks))
+    right = of("i", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     flipped = sum((F.bit_count(F.col(f"p{w}").bitwiseXOR(F.col(f"i{w}"))) for w in range(PARITIES)), F.lit(0))
     return rare.union(ends(left.join(right, ["key", "block"]).filter(flipped <= 4 * k))).distinct()
 
