@@ -137,7 +137,8 @@ def candidates(distinct: DataFrame, k: int) -> DataFrame:
     blocks = F.ceil(F.col("m") / BLOCK)
 
     def of(end: str, block: Column) -> DataFrame:
-        words = (F.get("bits", F.lit(w)).alias(f"{end}{w}") for w in range(PARITIES))
+        # Never null: from a null word a filter would be inferred that computes the bits of all lines below the join.
+        words = (F.coalesce(F.get("bits", F.lit(w)), F.lit(0).cast("bigint")).alias(f"{end}{w}") for w in range(PARITIES))
         return rows[end].join(signed, "number").select("key", block.alias("block"), F.col("number").alias(end), *words)
 
     left = of("p", F.pmod(F.xxhash64("number"), blocks))
