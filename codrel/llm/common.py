@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,15 +24,48 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()).rstrip("/")
 
 
+#: The folder, below that of all tables, of the ``scratch`` that is open.
+_scratch: ContextVar[str] = ContextVar("_scratch", default="")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/codrel/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/codrel/{_scratch.get()}{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of plans that nothing refers to any more, which otherwise wait for the driver's next full collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written inside are deleted when the block ends, however it ends; what it gives writes a table that stays."""
+    outer = _scratch.get()
+    mine = f"{outer}{name}-{uuid.uuid4().hex}/"
+
+    def keep(df: DataFrame, table_name: str) -> DataFrame:
+        inside = _scratch.set(outer)
+        try:
+            return written(df, table_name)
+        finally:
+            _scratch.reset(inside)
+
+    opened = _scratch.set(mine)
+    try:
+        yield keep
+    finally:
+        _scratch.reset(opened)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/codrel/{mine}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        release(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and lineage ends there.
 
     Losing an executor later costs a reread, not a recomputation. The files stay until the
-    owner of the folder clears it.
+    ``scratch`` around ends, or without one until the owner of the folder clears it.
     """
     spark = df.sparkSession
     path = new_path(spark, name)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_least, shown_id, text_or_empty, written, written_in_buckets
+from .common import id_or_least, release, scratch, shown_id, text_or_empty, written, written_in_buckets
 from .components import components
 
 WORDS, PERCENT = 3, 90
@@ -312,7 +312,12 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id (the smallest long for null), text_hash, d, n and component, the node that names the component (null without n-grams)."""
+    """Written: doc_id (the smallest long for null), text_hash, d, n and component, the node that names the component (null without n-grams)."""
+    with scratch(docs.sparkSession, "jaccard-join") as keep:
+        return keep(_found(docs, words, percent), "joined")
+
+
+def _found(docs: DataFrame, words: int, percent: int) -> DataFrame:
     base = documents(docs, words, percent)
     full = base.filter(F.col("n") > 0)
     classes = written(full.groupBy("n", "d1", "d2").agg(F.min(F.struct(F.col("doc_id").alias("id"), "d")).alias("node")), "classes")
@@ -320,6 +325,7 @@ def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = firsts.select(F.struct(F.col("doc_id").alias("id"), "d").alias("node"), "n", F.explode("rows").alias("token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("hub")).filter(F.col("df") > 1)
     live = written(rows.join(shared, "token"), "rows")
+    release(docs.sparkSession)
     least = _shared_rows(F.ceil(F.col("n") * percent / F.lit(100)).cast("long"), percent)
     counted = live.groupBy("node", "n").agg(F.count("*").alias("rows"), F.count(F.when(F.col("df") > BLOCK, 1)).alias("frequent"))
     nodes = written(counted.filter(F.col("rows") >= least).select("node", "n", (F.col("frequent") >= least).alias("all_rows")), "nodes")
@@ -327,6 +333,7 @@ def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sets = _texts(docs, F.broadcast(ids) if small else ids)
     kept = written(live.join(nodes.select("node", "all_rows"), "node"), "kept-rows")
+    release(docs.sparkSession)
 
     def star(hubs: DataFrame, comps: DataFrame | None) -> DataFrame:
         """Each node's verified link to the hub it shares most rows with, if that is in another component."""
@@ -368,7 +375,7 @@ def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
         comps = components(found_links.union(rest))
 
     named = classes.join(comps, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"))
-    return base.select("doc_id", "text_hash", "d", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
+    return base.select("doc_id", "text_hash", "d", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left").select("doc_id", "text_hash", "d", "n", "component")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_least, shown_id, text_or_empty, written, written_in_buckets
+from .common import id_or_least, scratch, shown_id, text_or_empty, written, written_in_buckets
 
 MAX_EDITS, LEAST_CHARS = 2, 20
 _AT = ("doc_id", "text_hash", "line_no")
@@ -227,18 +227,19 @@ def near(distinct: DataFrame, k: int) -> DataFrame:
 
 
 def removed(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS, least_equal: int | None = None) -> DataFrame:
-    """doc_id (the smallest long for null), text_hash and the ascending numbers of the lines to remove, for documents that have any."""
-    found = lines(docs, least_chars, least_equal)
-    distinct = written_in_buckets(distinct_lines(found), "lines", "h1", "h2")
-    first = distinct.select("h1", "h2", F.struct(*_AT).alias("first"))
-    if max_edits:
-        later = near(distinct.filter(F.char_length("line") >= least_chars), max_edits).withColumn("near", F.lit(True))
-        first = first.join(later, ["h1", "h2"], "left")
-    else:
-        first = first.withColumn("near", F.lit(None).cast("boolean"))
-    places = found.select(*_AT, *(c.alias(n) for n, c in _hashes(F.col("line")).items()))
-    gone = places.join(first, ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.struct(*_AT) != F.col("first")))
-    return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    """Written: doc_id (the smallest long for null), text_hash and the ascending numbers of the lines to remove, for documents that have any."""
+    with scratch(docs.sparkSession, "line-dedup") as keep:
+        found = lines(docs, least_chars, least_equal)
+        distinct = written_in_buckets(distinct_lines(found), "lines", "h1", "h2")
+        first = distinct.select("h1", "h2", F.struct(*_AT).alias("first"))
+        if max_edits:
+            later = near(distinct.filter(F.char_length("line") >= least_chars), max_edits).withColumn("near", F.lit(True))
+            first = first.join(later, ["h1", "h2"], "left")
+        else:
+            first = first.withColumn("near", F.lit(None).cast("boolean"))
+        places = found.select(*_AT, *(c.alias(n) for n, c in _hashes(F.col("line")).items()))
+        gone = places.join(first, ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.struct(*_AT) != F.col("first")))
+        return keep(gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed-lines")
 
 
 def report(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS, least_equal: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -715,3 +716,22 @@ def test_license_scan(spark, docs, none):
     assert "apache-2.0" in labels[1, 8] and named[2] == ["mit"] and named[9] == [] and named[10] == ["cc-by", "cc-by-nc-4.0"] and named[12] == ["gpl", "gpl-2.0"] and named[11] == ["apache", "apache-2.0"]
     assert all(0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) for r in out)
     assert licenses.scan(none).count() == 0 and licenses.scan(docs[0]).count() == len(docs[1])
+
+
+def test_scratch_deletes_its_tables(spark):
+    from codrel.llm.common import scratch, shared_dir, written
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "codrel"
+    before = set(folder.glob("*"))
+    with scratch(spark, "outer") as keep:
+        first = written(spark.range(5), "first")
+        with scratch(spark, "inner") as keep_inner:
+            inner = keep_inner(written(first.filter("id > 2"), "second"), "result")
+        out = keep(inner, "result")
+    assert sorted(r.id for r in out.collect()) == [3, 4]
+    assert [p.name.split("-")[0] for p in set(folder.glob("*")) - before] == ["result"]
+    before = set(folder.glob("*"))
+    with pytest.raises(ValueError, match="lost"), scratch(spark, "failed"):
+        written(spark.range(5), "first")
+        raise ValueError("lost")
+    assert set(folder.glob("*")) == before
