@@ -322,12 +322,14 @@ def _found(docs: DataFrame, words: int, percent: int) -> DataFrame:
     full = base.filter(F.col("n") > 0)
     classes = written(full.groupBy("n", "d1", "d2").agg(F.min(F.struct(F.col("doc_id").alias("id"), "d")).alias("node")), "classes")
     firsts = full.join(classes.select(F.col("node.id").alias("doc_id"), F.col("node.d").alias("d")), ["doc_id", "d"], "left_semi").dropDuplicates(["doc_id", "d"])
-    rows = firsts.select(F.struct(F.col("doc_id").alias("id"), "d").alias("node"), "n", F.explode("rows").alias("token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("hub")).filter(F.col("df") > 1)
-    live = written(rows.join(shared, "token"), "rows")
+    # 48 bits of a token, which meet by chance in rows that are counted and verified like the rest. Sizes come back from the classes, so both readers of firsts take the same columns.
+    rows = firsts.select("doc_id", "d", F.explode("rows").alias("token")).withColumn("token", F.shiftrightunsigned("token", 16))
+    shared = rows.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
+    live = written(rows.join(shared, "token").select(F.struct(F.col("doc_id").alias("id"), "d").alias("node"), "token", "df"), "rows")
     release(docs.sparkSession)
     least = _shared_rows(F.ceil(F.col("n") * percent / F.lit(100)).cast("long"), percent)
-    counted = live.groupBy("node", "n").agg(F.count("*").alias("rows"), F.count(F.when(F.col("df") > BLOCK, 1)).alias("frequent"))
+    held = live.groupBy("node").agg(F.count("*").alias("rows"), F.count(F.when(F.col("df") > BLOCK, 1)).alias("frequent"))
+    counted = held.join(classes.select("node", "n"), "node")
     nodes = written(counted.filter(F.col("rows") >= least).select("node", "n", (F.col("frequent") >= least).alias("all_rows")), "nodes")
     ids = nodes.select(F.col("node.id").alias("id"), F.col("node.d").alias("d"))
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -345,11 +347,11 @@ def _found(docs: DataFrame, words: int, percent: int) -> DataFrame:
             best = best.filter(F.col("a_c") != F.col("b_c")).select("a", "b")
         return written(_verified(best, sets, words, percent), "links")
 
-    found_links = star(kept, None)
+    found_links = star(kept.join(kept.groupBy("token").agg(F.min("node").alias("hub")), "token"), None)
     comps = components(found_links)
     turn = F.struct(F.xxhash64("node").alias("turn"), "node")
     other = kept.groupBy("token").agg(F.min(turn).alias("first")).select("token", F.col("first.node").alias("hub"))
-    found_links = found_links.union(star(kept.drop("hub").join(other, "token"), comps))
+    found_links = found_links.union(star(kept.join(other, "token"), comps))
     comps = components(found_links)
 
     # What the stars left: rows that nodes of different components share.
