@@ -4,11 +4,16 @@ A document's set is its distinct word n-grams, as 64-bit hashes in ascending ord
 documents link when 100 * intersection >= percent * union. Links are found exactly:
 
 1. Equal sets collapse to one class, whose node is its smallest document.
-2. Sets that link share at least l of the first (size - least overlap + l) hashes of each;
-   l is one more than the hashes that a linked set may lack. Those are the rows of an index. A
-   document too few of whose rows occur anywhere else links with nothing and leaves; in most
-   corpora that is nearly every document. The texts of the rest are put into buckets once, and
-   a verification moves only one of the two texts of a pair.
+2. Sets that link share at least l rows of an index. From ``PARTS_FROM`` percent on, the rows
+   are hashes of parts: sets that link differ in at most k hashes, so if hashes deal both into
+   k + l parts, l of the parts are equal. k and l come from a class of sizes, and a set has rows
+   in each class that the larger set of a link could have. Parts of several n-grams are hardly
+   ever equal by chance, however many documents there are. At lower percents, parts would be
+   small and many; there the rows are the first (size - least overlap + l) hashes, and l is one
+   more than the hashes that a linked set may lack. A document too few of whose rows occur
+   anywhere else links with nothing and leaves; in most corpora that is nearly every document.
+   The texts of the rest are put into buckets once, and a verification moves only one of the two
+   texts of a pair.
 3. Stars: every remaining node is verified against the smallest node that shares most of
    its rows, and then, under another order of nodes, again. Groups of near copies, however
    large, become components here at one or two verifications a node.
@@ -32,6 +37,7 @@ table gives an empty table. Extra columns are ignored by ``join`` and kept by ``
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +54,12 @@ BITS = 4096
 LEAF = 32
 #: Sizes up to which a bitmap holds every token; above, it holds a half, a quarter ... of them.
 FULL = 2048
+#: From so many percent on, index rows are parts of sets. With 3-word n-grams at 90 they leave fewer documents and rows than single hashes do, with 5-word ones at 80 more.
+PARTS_FROM = 90
+#: Least sizes of the classes of sizes, each about half as large again as the one before.
+CLASSES = [1, 2, 3]
+while CLASSES[-1] < 2**40:
+    CLASSES.append(CLASSES[-1] * 3 // 2)
 #: Nodes of one row that are searched together, and above which a row counts as very frequent.
 BLOCK = 2048
 #: Ids up to which a table of them is broadcast.
@@ -75,38 +87,53 @@ def links(x: str | None, y: str | None, words: int, percent: int) -> bool:
     return bool(common) and 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _spare(n: Column, percent: int) -> Column:
-    """Tokens of a set of n that a linked set may lack."""
-    return n - F.ceil(n * percent / F.lit(100)).cast("long")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The last steps of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _shared_rows(n: Column, percent: int) -> Column:
-    """l: the index rows that two linked sets share, by the smaller one's size."""
-    return _spare(n, percent) + 1
+def index_rows(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """48 bits of each index row of a set, and the least number of rows that it shares with any other set that links."""
+    n = len(tokens)
+    if percent < PARTS_FROM:
+        overlap = -(-n * percent // 100)
+        return tokens[: 2 * (n - overlap) + 1].view(np.uint64) >> np.uint64(16), overlap + -overlap * percent // 100 + 1
+    mine, rows, least = tokens.view(np.uint64), [np.zeros(0, np.uint64)], []
+    for c in range(bisect_right(CLASSES, n) - 1, bisect_right(CLASSES, 100 * n // percent)) if n else ():
+        differ = 2 * (CLASSES[c + 1] - 1) * (100 - percent) // (100 + percent)
+        least.append(1 + differ // 8)
+        if differ:  # else only equal sets link, which are one class
+            parts = differ + least[-1]
+            sums = np.zeros(parts, np.uint64)
+            np.add.at(sums, (mine >> np.uint64(32)) % np.uint64(parts), _mixed(mine))
+            rows.append(_mixed(sums + _mixed(np.arange(parts, dtype=np.uint64) + np.uint64(c << 40))) >> np.uint64(16))
+    return np.concatenate(rows), min(least, default=1)
 
 
 def documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Written: doc_id, text_hash (Spark's), d (hash of the text), n, d1, d2 (128 bits of hash of the set) and rows, the first tokens that go into the index."""
+    """Written: doc_id, text_hash (Spark's), d (hash of the text), n, d1, d2 (128 bits of hash of the set), least and rows as ``index_rows`` has them."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as digest
 
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for text in batch.column("text").to_pylist():
                 tokens = token_set(text, words)
-                n, raw = len(tokens), tokens.tobytes()
-                spare = n + -n * percent // 100
-                for column, value in zip(out, (n, digest(raw), digest(raw, 7), tokens[: 2 * spare + 1], digest(text.encode("utf-8", "surrogatepass"))), strict=True):
+                raw, (rows, least) = tokens.tobytes(), index_rows(tokens, percent)
+                for column, value in zip(out, (len(tokens), digest(raw), digest(raw, 7), least, rows.view(np.int64), digest(text.encode("utf-8", "surrogatepass"))), strict=True):
                     column.append(value)
-            n, d1, d2, rows, d = out
+            n, d1, d2, least, rows, d = out
             whole = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (d, d1, d2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), whole[0], pa.array(n, pa.int64()), *whole[1:], pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "text_hash", "d", "n", "d1", "d2", "rows"]
+                [batch.column("doc_id"), batch.column("text_hash"), whole[0], pa.array(n, pa.int64()), *whole[1:], pa.array(least, pa.int64()), pa.array(rows, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "d", "n", "d1", "d2", "least", "rows"],
             )
 
     source = docs.select(id_or_least().alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
-    return written(source.mapInArrow(made, "doc_id long, text_hash long, d long, n long, d1 long, d2 long, rows array<long>"), "sets")
+    return written(source.mapInArrow(made, "doc_id long, text_hash long, d long, n long, d1 long, d2 long, least long, rows array<long>"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
@@ -320,17 +347,16 @@ def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def _found(docs: DataFrame, words: int, percent: int) -> DataFrame:
     base = documents(docs, words, percent)
     full = base.filter(F.col("n") > 0)
-    classes = written(full.groupBy("n", "d1", "d2").agg(F.min(F.struct(F.col("doc_id").alias("id"), "d")).alias("node")), "classes")
+    classes = written(full.groupBy("n", "d1", "d2").agg(F.min(F.struct(F.col("doc_id").alias("id"), "d")).alias("node"), F.min("least").alias("least")), "classes")
     firsts = full.join(classes.select(F.col("node.id").alias("doc_id"), F.col("node.d").alias("d")), ["doc_id", "d"], "left_semi").dropDuplicates(["doc_id", "d"])
-    # 48 bits of a token, which meet by chance in rows that are counted and verified like the rest. Sizes come back from the classes, so both readers of firsts take the same columns.
-    rows = firsts.select("doc_id", "d", F.explode("rows").alias("token")).withColumn("token", F.shiftrightunsigned("token", 16))
+    # Rows whose 48 bits meet by chance are counted and verified like the rest. Sizes come back from the classes, so both readers of firsts take the same columns.
+    rows = firsts.select("doc_id", "d", F.explode("rows").alias("token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
     live = written(rows.join(shared, "token").select(F.struct(F.col("doc_id").alias("id"), "d").alias("node"), "token", "df"), "rows")
     release(docs.sparkSession)
-    least = _shared_rows(F.ceil(F.col("n") * percent / F.lit(100)).cast("long"), percent)
     held = live.groupBy("node").agg(F.count("*").alias("rows"), F.count(F.when(F.col("df") > BLOCK, 1)).alias("frequent"))
-    counted = held.join(classes.select("node", "n"), "node")
-    nodes = written(counted.filter(F.col("rows") >= least).select("node", "n", (F.col("frequent") >= least).alias("all_rows")), "nodes")
+    counted = held.join(classes.select("node", "n", "least"), "node")
+    nodes = written(counted.filter(F.col("rows") >= F.col("least")).select("node", "n", (F.col("frequent") >= F.col("least")).alias("all_rows")), "nodes")
     ids = nodes.select(F.col("node.id").alias("id"), F.col("node.d").alias("d"))
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sets = _texts(docs, F.broadcast(ids) if small else ids)

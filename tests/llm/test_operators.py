@@ -644,6 +644,32 @@ def _with(search, small):
     return made
 
 
+def test_documents_that_share_only_common_ngrams_leave_the_index(spark, monkeypatch):
+    """Every n-gram of these texts stands in others as well, but only the near copies reach the texts and stars."""
+    g = random.Random(21)
+    rows = [(i, " ".join(g.choice(WORDS[:8]) for _ in range(g.randint(150, 250)))) for i in range(120)]
+    rows += [(500, rows[0][1] + " of"), (501, "by " + rows[1][1] + " at"), (502, rows[2][1].replace(" ", "  "))]
+    left, texts = [], jaccard_join._texts
+    monkeypatch.setattr(jaccard_join, "_texts", lambda docs, ids: left.extend(r.id for r in ids.collect()) or texts(docs, ids))
+    got = sorted(tuple(r) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
+    assert got == brute_components(rows, 3, 90) and got[-3:] == [(500, got[-3][1], 0), (501, got[-2][1], 1), (502, got[-1][1], 2)]
+    assert {0, 1, 500, 501} <= set(left) and len(left) < 20
+
+
+@pytest.mark.parametrize("percent", [40, 80, 90, 93, 99])
+def test_sets_that_link_share_index_rows(percent):
+    """At the bound itself: equal sizes, one set inside the other, and in between, across the classes of sizes."""
+    g = np.random.default_rng(percent)
+    for size in [*range(1, 60), *jaccard_join.CLASSES[8:19], *(n - 1 for n in jaccard_join.CLASSES[8:19]), *g.integers(60, 3000, 60)]:
+        tokens = g.permutation(np.unique(g.integers(-(2**63), 2**63 - 1, 3 * size + 9)))
+        for lost in {0, size // 40, size // 20, size // 12, size // 10, size - -(-size * percent // 100)}:
+            common = size - lost
+            most = 100 * common // percent - size  # tokens that only the other set has
+            if common and most >= 0:
+                (x, least_x), (y, least_y) = (jaccard_join.index_rows(np.sort(t), percent) for t in (tokens[:size], np.r_[tokens[:common], tokens[size : size + most]]))
+                assert lost + most == 0 or len(np.intersect1d(x, y)) >= max(least_x, least_y, 1)
+
+
 def test_one_of_each_tells_rows_of_an_id_apart(spark):
     g = random.Random(12)
     w, other = prose(g, 40), prose(g, 40)
