@@ -17,15 +17,17 @@ documents link when 100 * intersection >= percent * union. Links are found exact
 3. Stars: every remaining node is verified against the smallest node that shares most of
    its rows, and then, under another order of nodes, again. Groups of near copies, however
    large, become components here at one or two verifications a node.
-4. Rows shared by different components are searched for the links that stars missed. Each
-   such row's nodes, in blocks of bounded size, form signature trees: leaves and inner
+4. Rows shared by different components are searched for the links that stars missed. A node
+   is searched under its rarest rows only: where sets that link share l rows, its l - 1 most
+   common ones are left out, and the rarest that two such sets share is never among them.
+   Each row's nodes, in blocks of bounded size, form signature trees: leaves and inner
    nodes hold OR-combined token bitmaps, least bitmap weights, and size ranges. Two trees
    are traversed together; a pair of tree nodes is left when no document below one could
    overlap enough with one below the other, or when all belong to one component already.
-   Surviving pairs are verified on the sets.
+   Surviving pairs are verified on the sets. Every node brings its ``CARRIED`` rarest rows
+   along; a pair that shares some of these leaves the search under the smallest of them only.
 
-A row that very many nodes share is searched only for nodes that hold at least l such rows:
-any other linked pair shares a rarer row as well. Nothing is capped.
+Nothing is capped: rows that very many nodes share are searched like the rest, in blocks.
 
 Defined results: null, empty and blank texts have empty sets and link with nothing; fewer
 words than n make one n-gram of all of them; very long texts take part whole, with bitmaps of a
@@ -43,10 +45,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_or_least, release, scratch, shown_id, text_or_empty, written, written_in_buckets
+from .common import give_back, id_or_least, release, scratch, shown_id, text_or_empty, written, written_in_buckets
 from .components import components
 
 WORDS, PERCENT = 3, 90
@@ -60,8 +62,10 @@ PARTS_FROM = 90
 CLASSES = [1, 2, 3]
 while CLASSES[-1] < 2**40:
     CLASSES.append(CLASSES[-1] * 3 // 2)
-#: Nodes of one row that are searched together, and above which a row counts as very frequent.
+#: Nodes of one row that are searched together.
 BLOCK = 2048
+#: Rows that a node brings along to each of its rows, so that most pairs are found once.
+CARRIED = 16
 #: Ids up to which a table of them is broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -131,6 +135,7 @@ def documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 [batch.column("doc_id"), batch.column("text_hash"), whole[0], pa.array(n, pa.int64()), *whole[1:], pa.array(least, pa.int64()), pa.array(rows, pa.list_(pa.int64()))],
                 ["doc_id", "text_hash", "d", "n", "d1", "d2", "least", "rows"],
             )
+        give_back()
 
     source = docs.select(id_or_least().alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
     return written(source.mapInArrow(made, "doc_id long, text_hash long, d long, n long, d1 long, d2 long, least long, rows array<long>"), "sets")
@@ -144,6 +149,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> Da
             x, y = (batch.column(f"{p}_text").to_pylist() for p in "ab")
             ok = pa.array([links(s, t, words, percent) for s, t in zip(x, y, strict=True)], pa.bool_())
             yield batch.select(["a_id", "a_d", "b_id", "b_d"]).filter(ok)
+        give_back()
 
     flat = pairs.select(*(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in ("id", "d")))
     named = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "d", "text")))
@@ -239,6 +245,8 @@ class _Batch:
         self.level = np.array([level_of(n) for n in self.n.tolist()], np.int64)
         self.block = pdf["block"].to_numpy(np.int64)
         self.maps = [np.frombuffer(b"".join(pdf[c]), np.uint64).reshape(len(pdf), BITS // 64) for c in ("own", "next")]
+        self.token = pdf["token"].to_numpy(np.int64)
+        self.carried = np.frombuffer(b"".join(pdf["carried"]), np.int64).reshape(len(pdf), -1)
 
     def may_link(self, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
         """Which pairs pass the bounds of size and bitmaps."""
@@ -251,6 +259,15 @@ class _Batch:
         apart = np.bitwise_count(np.where(up, above[p], own[p]) ^ np.where(uq, above[q], own[q])).sum(axis=1, dtype=np.int64)
         return at[(100 + percent) * (total - apart) >= 2 * percent * total]
 
+    def found_here(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which pairs share no carried row smaller than the one that they are compared under, or none at all."""
+        here = []
+        for at in range(0, len(p), 1 << 15):
+            x, y = self.carried[p[at : at + (1 << 15)]], self.carried[q[at : at + (1 << 15)]]
+            both = np.where((x[:, :, None] == y[:, None, :]).any(axis=2) & (x >= 0), x, np.iinfo(np.int64).max).min(axis=1)
+            here.append((both == np.iinfo(np.int64).max) | (both == self.token[p[at : at + (1 << 15)]]))
+        return np.concatenate(here) if here else np.zeros(0, bool)
+
 
 def _large(batch: _Batch, rows: np.ndarray, i: int, j: int, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs between the blocks i and j of one index row, by signature trees of each level of size."""
@@ -290,6 +307,8 @@ def _search(percent: int):
             ok = batch.may_link(p, q, percent)
             found.append((p[ok], q[ok]))
         p, q = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
+        here = batch.found_here(p, q)
+        p, q = p[here], q[here]
         out = pd.DataFrame({"a_id": batch.id[p], "a_d": batch.d[p], "b_id": batch.id[q], "b_d": batch.d[q]})
         swap = (out["a_id"] > out["b_id"]) | ((out["a_id"] == out["b_id"]) & (out["a_d"] > out["b_d"]))
         out.loc[swap, ["a_id", "a_d", "b_id", "b_d"]] = out.loc[swap, ["b_id", "b_d", "a_id", "a_d"]].to_numpy()
@@ -306,6 +325,8 @@ def _search(percent: int):
                 yield pairs_of(pdf.iloc[:at])
         if held is not None and len(held):
             yield pairs_of(held)
+        held = None
+        give_back()
 
     return run
 
@@ -319,7 +340,9 @@ def _signed(words: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             tokens = [token_set(t, words) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "d": pdf["d"], "own": [signature(t, level_of(len(t))) for t in tokens], "next": [above(t) for t in tokens]})
+            carried = [np.r_[x, np.full(CARRIED - len(x), -1)].astype(np.int64).tobytes() for x in pdf["carried"]]
+            yield pd.DataFrame({"id": pdf["id"], "d": pdf["d"], "own": [signature(t, level_of(len(t))) for t in tokens], "next": [above(t) for t in tokens], "carried": carried})
+        give_back()
 
     return run
 
@@ -333,6 +356,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             d = np.array([digest(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield batch.filter(pa.array(d == batch.column("d").to_numpy()))
+        give_back()
 
     source = docs.select(id_or_least().alias("id"), text_or_empty().alias("text")).join(ids, "id").select("id", "d", "text")
     return written_in_buckets(source.mapInArrow(same, "id long, d long, text string").dropDuplicates(["id", "d"]), "texts", "id", "d")
@@ -354,13 +378,12 @@ def _found(docs: DataFrame, words: int, percent: int) -> DataFrame:
     shared = rows.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
     live = written(rows.join(shared, "token").select(F.struct(F.col("doc_id").alias("id"), "d").alias("node"), "token", "df"), "rows")
     release(docs.sparkSession)
-    held = live.groupBy("node").agg(F.count("*").alias("rows"), F.count(F.when(F.col("df") > BLOCK, 1)).alias("frequent"))
-    counted = held.join(classes.select("node", "n", "least"), "node")
-    nodes = written(counted.filter(F.col("rows") >= F.col("least")).select("node", "n", (F.col("frequent") >= F.col("least")).alias("all_rows")), "nodes")
+    counted = live.groupBy("node").agg(F.count("*").alias("rows")).join(classes.select("node", "n", "least"), "node")
+    nodes = written(counted.filter(F.col("rows") >= F.col("least")).select("node", "n", "least"), "nodes")
     ids = nodes.select(F.col("node.id").alias("id"), F.col("node.d").alias("d"))
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sets = _texts(docs, F.broadcast(ids) if small else ids)
-    kept = written(live.join(nodes.select("node", "all_rows"), "node"), "kept-rows")
+    kept = written(live.join(nodes.select("node", "least"), "node"), "kept-rows")
     release(docs.sparkSession)
 
     def star(hubs: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -382,11 +405,14 @@ def _found(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     # What the stars left: rows that nodes of different components share.
     own = nodes.join(comps, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
-    open_rows = kept.filter((F.col("df") <= BLOCK) | F.col("all_rows")).select("node", "token").join(own, "node")
+    common_first = Window.partitionBy("node").orderBy(F.col("df").desc(), "token")
+    rarest = kept.withColumn("place", F.row_number().over(common_first)).filter(F.col("place") >= F.col("least"))
+    open_rows = rarest.select("node", "token", "df").join(own, "node")
     mixed = open_rows.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") != F.col("hi"))
     todo = written(open_rows.join(mixed.select("token", "m"), "token"), "open-rows")
-    needed = todo.select(F.col("node.id").alias("id"), F.col("node.d").alias("d")).distinct()
-    signed = sets.join(needed, ["id", "d"], "left_semi").mapInPandas(_signed(words, percent), "id long, d long, own binary, next binary")
+    first = F.slice(F.array_sort(F.collect_list(F.struct("df", "token"))), 1, CARRIED)["token"]
+    needed = todo.groupBy(F.col("node.id").alias("id"), F.col("node.d").alias("d")).agg(first.alias("carried"))
+    signed = sets.join(needed, ["id", "d"]).select("id", "d", "text", "carried").mapInPandas(_signed(words, percent), "id long, d long, own binary, next binary, carried binary")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = todo.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK).cast("long")).cast("int")})
     # Block k meets every block: as the first of the pair those at or above it, as the second those below.

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_or_empty
+from .common import give_back, shuffle_partitions, text_or_empty
 
 BITS = 18
 SLOTS = 1 << BITS
@@ -184,11 +184,14 @@ def fit_table(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) ->
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "slots": [features(t).tobytes() for t in pdf["text"]]})
+        give_back()
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [(d, y, np.frombuffer(x, np.int32)) for pdf in batches for d, y, x in zip(pdf["doc_id"].tolist(), pdf["label"].tolist(), pdf["slots"], strict=True)]
         parts.sort(key=lambda p: p[0])
         m = fit([x for *_, x in parts], np.array([y for _, y, _ in parts], int))
+        parts.clear()
+        give_back()
         yield pd.DataFrame({"weights": [m.weights.astype("<f4").tobytes()], "squares": [m.squares.astype("<f4").tobytes()], "bias": [m.bias], "slope": [m.slope], "offset": [m.offset]})
 
     spread = one.repartition(shuffle_partitions(docs.sparkSession), "doc_id")
@@ -208,6 +211,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         for batch in batches:
             scores = [own.score(t or "") for t in batch.column("text").to_pylist()]
             yield batch.append_column(column, pa.array(scores, pa.float64()))
+        give_back()
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != column) + f", `{column}` double"
     return docs.drop(column).mapInArrow(scored, schema)

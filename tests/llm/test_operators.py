@@ -656,6 +656,39 @@ def test_documents_that_share_only_common_ngrams_leave_the_index(spark, monkeypa
     assert {0, 1, 500, 501} <= set(left) and len(left) < 20
 
 
+@pytest.mark.parametrize("carried", [16, 1])
+def test_a_pair_of_near_copies_leaves_the_search_once(spark, monkeypatch, carried):
+    """Copies of one text that share many rows and stand at the bound, so that stars miss links; with few rows brought along pairs repeat, but none is lost."""
+    monkeypatch.setattr(jaccard_join, "CARRIED", carried, raising=False)
+    g = random.Random(33)
+    base = prose(g, 300).split(" ")
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for at in g.sample(range(300), 3 + i % 2):
+            words[at] = f"w{i}x{at}"
+        rows.append((i, " ".join(words)))
+    counted, search = spark.sparkContext.accumulator(0), jaccard_join._search
+
+    def counting(percent):
+        run = search(percent)
+
+        def inner(batches):
+            for pdf in run(batches):
+                counted.add(len(pdf))
+                yield pdf
+
+        return inner
+
+    monkeypatch.setattr(jaccard_join, "_search", counting)
+    pairs = []
+    monkeypatch.setattr(jaccard_join, "_verified", lambda found, *more, f=jaccard_join._verified: pairs.append(found.count()) or f(found, *more))
+    got = sorted(tuple(r) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80).collect())
+    assert got == brute_components(rows, 5, 80)
+    assert pairs[-1] > 50
+    assert counted.value == pairs[-1] if carried > 1 else counted.value >= pairs[-1]
+
+
 @pytest.mark.parametrize("percent", [40, 80, 90, 93, 99])
 def test_sets_that_link_share_index_rows(percent):
     """At the bound itself: equal sizes, one set inside the other, and in between, across the classes of sizes."""
@@ -761,3 +794,19 @@ def test_scratch_deletes_its_tables(spark):
         written(spark.range(5), "first")
         raise ValueError("lost")
     assert set(folder.glob("*")) == before
+
+
+def test_workers_give_back_what_a_fit_has_freed():
+    """Many small arrays with one alive above them, as after a fit."""
+    from codrel.llm.common import give_back
+
+    def held() -> float:
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096 / 1e6
+
+    before = held()
+    parts = [np.ones(2500) for _ in range(10_000)]
+    last = np.ones(2500)
+    assert held() > before + 150
+    del parts
+    give_back()
+    assert last.sum() == 2500 and held() < before + 60
