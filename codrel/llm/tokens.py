@@ -10,13 +10,17 @@ New words are encoded many at a time by the library's merge model alone, without
 pre-tokenizer, parted by a byte that no merge takes. That gives the same ids for a word whose
 parts (letters, digits, marks) meet only in pairs of bytes that no token holds, for then no
 merge crosses a cut that the pre-tokenizer would have made; other words take the whole way.
+Words on either side of a new line, a pair that hardly ever comes again, are encoded apart: the
+pre-tokenizer makes a token of a new line between two visible characters and starts anew after it.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
+import string
 from functools import lru_cache
 from itertools import compress, repeat
 from operator import is_
@@ -30,7 +34,9 @@ _RUNS = re.compile(r"[^\W\d_]+|\d+|[\W_]+")
 #: Words kept per worker process. Words met later are encoded batch by batch and not kept.
 WORDS_KEPT = 800_000
 #: Marks that the pre-tokenizer cuts from the letters before them, and that start no contraction.
-_MARKS = ".,;:!?)]\"}"
+_MARKS = string.punctuation.replace("'", "")
+#: Runs of marks, and words after a new line, kept per worker process between batches.
+_MARKS_KEPT, _STARTS_KEPT = 100_000, 100_000
 #: Words encoded in one call of the library.
 _RUN = 300
 
@@ -61,6 +67,7 @@ class Encoder:
         self.words_kept = words_kept
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.starts: dict[str, bytes] = {}
         self._prepare(Tokenizer, vocabulary)
 
     def _prepare(self, kind, vocabulary: dict[str, int]) -> None:
@@ -99,12 +106,12 @@ class Encoder:
                 return False
         return True
 
-    def _merged(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of plain words with a space before each, by the merge model."""
+    def _merged(self, words: list[str], before: str = " ") -> dict[str, bytes]:
+        """Ids of plain words with a space before each (or nothing), by the merge model."""
         out: dict[str, bytes] = {}
         runs = [words[i : i + _RUN] for i in range(0, len(words), _RUN)]
         mark = self.letters[0]
-        made = [(" " + "\0 ".join(run)).encode().decode("latin-1").translate(self.letters).replace(mark, self.between) for run in runs]
+        made = [(before + f"\0{before}".join(run)).encode().decode("latin-1").translate(self.letters).replace(mark, self.between) for run in runs]
         for run, e in zip(runs, self.model.encode_batch_fast(made, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             ends = np.flatnonzero(ids == self.between_id)
@@ -129,11 +136,22 @@ class Encoder:
                 at = 4 * cut
         return out
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words with a space before each, and of the letters alone of those that end in marks."""
+    def _words(self, words: list[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids of new words with a space before each, and of the letters alone of those that end in marks; apart from them those of words with new lines."""
         if self.model is None:
-            return self._cut_by_width(words)
-        known, wanted, marked, other = self.known, set(), [], []
+            return self._cut_by_width(words), {}
+        if len(self.marks) > _MARKS_KEPT:
+            self.marks.clear()
+        if len(self.starts) > _STARTS_KEPT:
+            self.starts.clear()
+        known, lines = self.known, {}
+        for w in words:
+            if "\n" in w and all(parts := w.split("\n")) and w.split() == parts:
+                lines[w] = parts
+        if lines:
+            words = {w for w in words if w not in lines}.union(parts[0] for parts in lines.values() if parts[0] not in known)
+            self._started(list({p for parts in lines.values() for p in parts[1:]}.difference(self.starts)))
+        wanted, marked, other = set(), [], []
         for w in words:
             if w.isalpha():
                 wanted.add(w)
@@ -148,14 +166,39 @@ class Encoder:
             else:
                 other.append(w)
         out = self._merged(list(wanted)) | self._cut_by_width(other)
-        new = list({marks for *_, marks in marked}.difference(self.marks))
-        self.marks.update(zip(new, self._whole(new), strict=True))
+        self._mark({marks for *_, marks in marked})
         for w, letters, marks in marked:
             out[w] = (known.get(letters) or out[letters]) + self.marks[marks]
-        return out
+        starts = self.starts
+        return out, {w: (known.get(parts[0]) or out[parts[0]]) + b"".join([starts[p] for p in parts[1:]]) for w, parts in lines.items()}
+
+    def _mark(self, runs: set[str]) -> None:
+        new = list(runs.difference(self.marks))
+        self.marks.update(zip(new, self._whole(new), strict=True))
+
+    def _started(self, words: list[str]) -> None:
+        """Learns the ids of a new line and the word after it."""
+        cut = [(w, letters) for w in words if (letters := w.rstrip(_MARKS)).isalpha()]
+        rest = list(set(words).difference(w for w, _ in cut))
+        letters = self._merged(list({x for _, x in cut}), "")
+        self._mark({"\n", *(w[len(x) :] for w, x in cut if len(x) < len(w))})
+        line = self.marks["\n"]
+        for w, x in cut:
+            self.starts[w] = line + letters[x] + (self.marks[w[len(x) :]] if len(x) < len(w) else b"")
+        for w, ids in zip(rest, self._whole(rest), strict=True):
+            self.starts[w] = line + ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        collecting = gc.isenabled()
+        gc.disable()  # no cycles are made here, and every collection would go through all known words
+        try:
+            return self._encoded(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         known = self.known
         whole: list[int] = []
@@ -181,12 +224,14 @@ class Encoder:
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
             out[k] = ids
         if split:
-            fresh = self._words(list(missing - odd))
+            fresh, lines = self._words(list(missing - odd))
             room = self.words_kept - len(known)
             known.update(fresh if room >= len(fresh) else {w: fresh[w] for w in list(fresh)[: max(0, room)]})
+            fresh.update(lines)
             fresh.update(zip(odd, self._whole([" " + w for w in odd]), strict=True))
-            for (k, _, rest, ids, new), head in zip(split, self._whole([s[1] for s in split]), strict=True):
-                out[k] = head + b"".join([fresh[w] if i is None else i for w, i in zip(rest, ids, strict=True)] if new else ids)
+            for (k, _, _, ids, new), head in zip(split, self._whole([s[1] for s in split]), strict=True):
+                found = map(fresh.__getitem__, new)
+                out[k] = head + b"".join([next(found) if i is None else i for i in ids] if new else ids)
         return out  # type: ignore[return-value]
 
 

@@ -73,6 +73,17 @@ def test_encoder_equals_library():
             assert np.frombuffer(raw, "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_takes_words_at_new_lines_apart():
+    """Their pairs are not kept, and their ids are the library's whatever stands at the line's end and start."""
+    enc, g = Encoder(vocabulary()), random.Random(2)
+    parts = ["end.", "Word", "don't", "'s", "don'", "12", "é%%%", "été", "«", "日本", "$#@!", "x_y", "\0", "I'll,"]
+    texts = [" ".join("\n".join(g.choice(parts) for _ in range(g.randint(1, 4))) for _ in range(12)) for _ in range(400)]
+    for some in (texts[:200], texts[200:], texts):
+        for text, raw in zip(some, enc.encode(some), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert {"end.", "Word"} <= set(enc.known) and not any("\n" in w for w in enc.known)
+
+
 def test_best_fit_holds_every_capacity():
     g = np.random.default_rng(0)
     lengths = np.sort(g.integers(1, 100, 400))[::-1]
