@@ -52,10 +52,14 @@ def let(value: Column, body) -> Column:
 
 def lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_equal: int | None = None) -> DataFrame:
     """doc_id, text_hash, line_no, line of every line that takes part."""
-    source = docs.select(
-        id_or_least().alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line")
-    )
-    trimmed = source.withColumn("line", F.btrim("line", F.lit(" \t\r")))
+    # Below the lines: above them, the whole text would be hashed once for each of its lines.
+    texts = docs.select(id_or_least().alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+    source = texts.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # A trim goes through the whole line, and few lines have anything to trim.
+    blank_end = F.lit(False)
+    for c in " \t\r":
+        blank_end = blank_end | F.startswith("line", F.lit(c)) | F.endswith("line", F.lit(c))
+    trimmed = source.withColumn("line", F.when(blank_end, F.btrim("line", F.lit(" \t\r"))).otherwise(F.col("line")))
     equal = F.lit(False) if least_equal is None else (F.char_length("line") >= least_equal) & F.col("line").rlike(r"\S")
     return trimmed.filter((F.char_length("line") >= least_chars) | equal)
 
@@ -91,19 +95,37 @@ def _key(line: Column, length: Column, i: int, shift: int, k: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(i), length, F.substring(line, start + (shift + 1), size)), 16)
 
 
-def index_keys(line: Column, k: int) -> Column:
-    n = F.char_length(line)
-    return F.array(*(_key(line, n, i, 0, k) for i in range(k + 1)))
+def _by_bytes(line: Column, n: Column, keys) -> Column:
+    """The keys of a line of n characters. Where each is one byte, they are cut as bytes, without going through what stands before; the hashes are the same."""
+    return F.when(F.octet_length(line) == n, keys(line.cast("binary"))).otherwise(keys(line))
 
 
-def probe_keys(line: Column, k: int) -> Column:
-    """Keys under which lines up to k characters shorter are indexed if they are within k edits."""
-    n, keys = F.char_length(line), []
+def index_keys(line: Column, n: Column, k: int) -> Column:
+    """Keys of a line of n characters."""
+    return _by_bytes(line, n, lambda text: F.array(*(_key(text, n, i, 0, k) for i in range(k + 1))))
+
+
+def probes(sized: DataFrame, k: int) -> DataFrame:
+    """number and key for each key under which lines up to k characters shorter are indexed if they are within k edits; ``sized`` has number, line and its length n.
+
+    With two edits, lines of equal length differ by a character that one has before the middle
+    segment and one that the other has after it, if no segment stands where it stood. Probed from
+    the other line, the middle then stands shifted the other way, or the last segment in its
+    place, so one way of shifting is enough.
+    """
+    places = []
     for delta in range(k + 1):
         for i in range(k + 1):
             for shift in range(max(-i, delta - (k - i)), min(i, delta + k - i) + 1):
-                keys.append(_key(line, n - delta, i, shift, k))
-    return F.array(*keys)
+                if not (k == 2 and delta == 0 and shift < 0):
+                    places.append(F.struct(F.lit(delta).alias("delta"), F.lit(i).alias("i"), F.lit(shift).alias("shift")))
+    # The code for one key, run for each place: code for all of them at once is too long to be compiled.
+    each = sized.select("number", "line", "n", F.explode(F.array(*places)).alias("place")).select("number", "line", "n", "place.*")
+    length = F.col("n") - F.col("delta")
+    part = lambda j: F.floor((length + j) / (k + 1)).cast("int")
+    start = sum((F.when(F.col("i") > j, part(F.lit(j))).otherwise(0) for j in range(k)), F.col("shift") + 1)
+    key = lambda text: F.shiftrightunsigned(F.xxhash64("i", length, F.substring(text, start, part(F.col("i")))), 16)
+    return each.select("number", _by_bytes(F.col("line"), F.col("n"), key).alias("key"))
 
 
 def parities(line: Column) -> Column:
@@ -123,8 +145,10 @@ def candidates(distinct: DataFrame, k: int) -> DataFrame:
     """Numbers a < b of different lines that share a key and, under common keys, may be within k edits by their letter pairs. ``distinct`` lies in buckets of both hashes."""
     number = F.coalesce(_number(F.col("h1")), F.lit(0).cast("bigint"))
     # Both sides move by key once; all that follows reads those exchanges again, so each reader takes all columns and none adds a filter.
-    indexed = distinct.select(number.alias("i"), F.explode(index_keys(F.col("line"), k)).alias("key")).repartition("key")
-    probing = distinct.select(number.alias("p"), F.explode(probe_keys(F.col("line"), k)).alias("key")).repartition("key")
+    # Lengths are counted below the keys: every key asks for its line's length several times.
+    sized = distinct.select(number.alias("number"), "line", F.char_length("line").alias("n"))
+    indexed = sized.select(F.col("number").alias("i"), F.explode(index_keys(F.col("line"), F.col("n"), k)).alias("key")).repartition("key")
+    probing = probes(sized, k).withColumnRenamed("number", "p").repartition("key")
     lines_of_key = F.count(F.when(F.col("i") >= 0, 1))
     common = indexed.groupBy("key").agg(lines_of_key.alias("m")).filter(F.col("m") > COMMON).hint("shuffle_hash")
     ends = lambda met: met.filter(F.col("i") != F.col("p")).select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b"))

@@ -328,6 +328,27 @@ def test_lines_under_common_keys(spark, monkeypatch, block):
     assert 0 < sum(map(len, got.values())) < 200
 
 
+def test_keys_of_lines_are_the_same_by_bytes_and_by_characters(spark):
+    """What lines of one byte a character share with others is found, in every way that two edits can fall; lines of equal length meet by one shift of the middle."""
+    g = random.Random(41)
+    rows = []
+    for _ in range(1500):
+        x = "".join(g.choice("ab é"[: g.choice((3, 4))]) for _ in range(g.randint(20, 32)))
+        y = list(x)
+        for _ in range(2):
+            how, at = g.randrange(3), g.randrange(len(y))
+            y[at : at + (how != 0)] = [g.choice("abcé")] * (how != 1)
+        rows.append((x, "".join(y)))
+    indexed, probed = {}, {}
+    for end in (0, 1):
+        df = spark.createDataFrame([(i, r[end]) for i, r in enumerate(rows)], "number long, line string").withColumn("n", F.char_length("line"))
+        indexed[end] = {r.number: {*r.keys} for r in df.select("number", line_dedup.index_keys(F.col("line"), F.col("n"), 2).alias("keys")).collect()}
+        probed[end] = {r.number: r.keys for r in line_dedup.probes(df, 2).groupBy("number").agg(F.collect_list("key").alias("keys")).collect()}
+    assert {len(keys) for keys in probed[0].values()} == {11}
+    for i, (x, y) in enumerate(rows):
+        assert edits(x, y) > 2 or indexed[0][i] & {*probed[1][i]} or indexed[1][i] & {*probed[0][i]}
+
+
 def test_letter_pair_parities(spark):
     """k edits flip at most 4k bits."""
     g = random.Random(6)
